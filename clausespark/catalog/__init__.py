@@ -34,4 +34,4 @@ def load() -> None:
         import_module(f"clausespark.catalog.{module}")
 
 
-MODULES = ["text_features"]
+MODULES = ["text_features", "corpus", "labels"]

@@ -74,31 +74,39 @@ def clauses_per_document(labels: DataFrame, id_col: str = "doc_id") -> DataFrame
 
 
 def label_sets(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Distinct label sets with their document counts; at most one entry per clause in a set."""
-    sets = labels.where(F.col("y") == 1).groupBy(id_col).agg(F.sort_array(F.collect_set("clause")).alias("labels"))
+    """Distinct label sets (the empty one too) with their document counts."""
+    positive = F.collect_set(F.when(F.col("y") == 1, F.col("clause")))
+    sets = labels.groupBy(id_col).agg(F.sort_array(positive).alias("labels"))
     return sets.groupBy("labels").agg(F.count("*").alias("n"))
 
 
+def set_cooccurrence(sets: DataFrame) -> DataFrame:
+    left = sets.select("labels", "n", F.explode("labels").alias("clause_a"))
+    both = left.select("clause_a", F.explode("labels").alias("clause_b"), "n")
+    return both.groupBy("clause_a", "clause_b").agg(F.sum("n").alias("n_docs"))
+
+
 def cooccurrence(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents carrying both labels, for every ordered pair including the diagonal.
 
     Documents are first folded into distinct label sets, so pairs arise per set, not per document.
     """
-    left = label_sets(labels, id_col).select("labels", "n", F.explode("labels").alias("clause_a"))
-    both = left.select("clause_a", F.explode("labels").alias("clause_b"), "n")
-    return both.groupBy("clause_a", "clause_b").agg(F.sum("n").alias("n_docs"))
+    return set_cooccurrence(label_sets(labels, id_col))
 
 
 def label_correlation(labels: DataFrame, top: int = 12, id_col: str = "doc_id") -> DataFrame:
-    """Pearson correlation among the most frequent labels, from counts."""
-    n = labels.agg(F.countDistinct(id_col)).scalar()
-    totals = labels.groupBy("clause").agg(F.sum("y").alias("s"))
-    kept = totals.orderBy(F.col("s").desc(), "clause").limit(top)
+    """Pearson correlation among the most frequent labels, from label-set counts."""
+    sets = label_sets(labels, id_col)
+    pairs_counted = set_cooccurrence(sets)
+    n = sets.agg(F.sum("n")).scalar()
+    diagonal = pairs_counted.where(F.col("clause_a") == F.col("clause_b"))
+    kept = diagonal.select(F.col("clause_a").alias("clause"), F.col("n_docs").alias("s"))
+    kept = kept.orderBy(F.col("s").desc(), "clause").limit(top)
     listed = kept.agg(F.collect_list(F.struct("clause", "s")).alias("kept"))  # one row of ``top`` entries
     pairs = listed.select("kept", F.inline("kept").alias("clause_a", "sa")).select(
         "clause_a", "sa", F.inline("kept").alias("clause_b", "sb")
     )
-    counted = pairs.join(cooccurrence(labels, id_col), ["clause_a", "clause_b"], "left").fillna(0, ["n_docs"])
+    counted = pairs.join(pairs_counted, ["clause_a", "clause_b"], "left").fillna(0, ["n_docs"])
     spread = F.sqrt((n * F.col("sa") - F.col("sa") ** 2) * (n * F.col("sb") - F.col("sb") ** 2))
     return counted.select(
         "clause_a",
