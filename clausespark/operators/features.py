@@ -19,16 +19,10 @@ def feature_groups(spark: SparkSession, features: Sequence[str]) -> DataFrame:
 def standardize(df: DataFrame, features: Sequence[str], fit_on: Column) -> DataFrame:
     """z-scores with mean and population deviation of the rows where ``fit_on`` holds.
 
-    A constant feature keeps scale 1.
+    A constant feature keeps scale 1. The statistics are two numbers per feature.
     """
     stats = df.where(fit_on).agg(
-        F.struct(
-            *[F.avg(f).alias(f"m_{f}") for f in features],
-            *[F.stddev_pop(f).alias(f"s_{f}") for f in features],
-        ).alias("stats")
-    ).scalar()
-    scaled = []
-    for f in features:
-        scale = F.when(stats[f"s_{f}"] > 0, stats[f"s_{f}"]).otherwise(F.lit(1.0))
-        scaled.append(((F.col(f) - stats[f"m_{f}"]) / scale).alias(f))
+        *[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]
+    ).first()
+    scaled = [((F.col(f) - stats[f"m_{f}"]) / (stats[f"s_{f}"] or 1.0)).alias(f) for f in features]
     return df.select(*[c for c in df.columns if c not in features], *scaled)
