@@ -34,4 +34,4 @@ def load() -> None:
         import_module(f"clausespark.catalog.{module}")
 
 
-MODULES = ["text_features", "corpus", "labels", "terms", "evaluation"]
+MODULES = ["text_features", "corpus", "labels", "terms", "evaluation", "reports", "models"]
