@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from clausespark.fixed import patterns as P
 from clausespark.fixed import prompts
@@ -84,7 +85,7 @@ def _latin_folding() -> tuple[str, str]:
     return "".join(sources), "".join(targets)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents_any_script(text: pd.Series) -> pd.Series:
     """Compatibility folding of any script; Arrow batches, for text beyond Latin letters."""
     folded = text.str.normalize("NFKD")
