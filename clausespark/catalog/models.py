@@ -110,7 +110,9 @@ def lsa_explained_variance(spark, sf_dir):
 def model_selected_terms_logistic(spark, sf_dir):
     """Logistic regression on each clause's own chi-square terms."""
     data = Data(spark, sf_dir).vectors()
-    sums = linear.term_sums(data.weights, linear.label_table(data.train_labels, CLAUSES), len(CLAUSES), "weight")
+    labelled = linear.with_labels(data.train, data.train_labels, CLAUSES)
+    weights = V.transform(labelled, data.vocabulary, data.spec, carry=linear.mask_names(len(CLAUSES)))
+    sums = linear.term_sums(weights, len(CLAUSES), "weight")
     shares = data.train_labels.groupBy("clause").agg(F.avg("y").alias("share"))
     chosen = blocks.select_k(blocks.chi2(sums, shares, CLAUSES), 100).join(data.vocabulary.select("term", "term_id"), "term")
     listed = chosen.groupBy("clause").agg(F.collect_list("term_id").alias("ids")).collect()  # clauses x k ids

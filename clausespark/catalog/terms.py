@@ -75,7 +75,7 @@ def weights_cte(sublinear: bool = True, name: str = "weights", counts: str = "co
 
 
 def plain_documents(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", "text")
+    return spread(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
 
 
 N_DOCS = "(SELECT count(*) FROM documents)"
@@ -242,7 +242,7 @@ SELECT doc_id, section, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY
 )
 def tfidf_positional(spark, sf_dir):
     """One vocabulary and TF-IDF per quarter of the text, all quarters in one job."""
-    sections = blocks.section_rows(spread(plain_documents(spark, sf_dir), "doc_id"))
+    sections = blocks.section_rows(plain_documents(spark, sf_dir))
     vocabulary = V.fit(sections, V.SECTIONS_5K)
     weights = V.transform(sections, vocabulary, V.SECTIONS_5K)
     return weights.select("doc_id", "section", "term", F.round("weight", 6).alias("weight"))
@@ -264,7 +264,7 @@ w AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id,
 SELECT doc_id, term, round(max(weight), 6) AS weight FROM w GROUP BY doc_id, term""",
 )
 def tfidf_window_max_pool(spark, sf_dir):
-    docs = spread(plain_documents(spark, sf_dir), "doc_id")
+    docs = plain_documents(spark, sf_dir)
     spec = V.TermSpec(hi=2, max_features=10_000)
     vocabulary = V.fit(docs, spec)
     pooled = V.max_pool(V.transform_windows(blocks.window_rows(docs), vocabulary, spec, "win"))
@@ -397,13 +397,20 @@ FROM contracts c CROSS JOIN (SELECT clause, any_value(bias) AS bias FROM coef GR
 LEFT JOIN margin USING (doc_id, clause)"""
 
 
+def nb_labels(train):
+    """Label rows written once: they are joined to the texts and counted per clause."""
+    return cut_lineage(score_rows(train).where(F.col("clause").isin(NB_CLAUSES)).select("doc_id", "clause", "y"))
+
+
 def _nb_inputs(spark, sf_dir):
     docs = splits.hash_split(contracts(spark, sf_dir).select("doc_id", "text"))
     train = docs.where("split = 'train'").drop("split")
-    labels = score_rows(train).where(F.col("clause").isin(NB_CLAUSES)).select("doc_id", "clause", "y")
+    labels = nb_labels(train)
     vocabulary = V.fit(train, NB_SPEC)
-    counts = V.count_terms(train, NB_SPEC, vocabulary=vocabulary)
-    sums = cut_lineage(linear.term_sums(counts, linear.label_table(labels, NB_CLAUSES), len(NB_CLAUSES)))
+    labelled = linear.with_labels(train, labels, NB_CLAUSES)
+    masks = linear.mask_names(len(NB_CLAUSES))
+    counts = V.count_terms(labelled, NB_SPEC, vocabulary=vocabulary, carry=masks)
+    sums = cut_lineage(linear.term_sums(counts, len(NB_CLAUSES)))
     return docs.drop("split"), labels, sums
 
 
@@ -450,9 +457,11 @@ stat AS (SELECT clause, term, (p - share * total) ** 2 / (share * total)
 def chi2_table(spark, sf_dir):
     docs = splits.hash_split(contracts(spark, sf_dir).select("doc_id", "text"))
     train = docs.where("split = 'train'").drop("split")
-    labels = score_rows(train).where(F.col("clause").isin(NB_CLAUSES)).select("doc_id", "clause", "y")
-    weights = V.transform(train, V.fit(train, V.BIGRAMS_20K), V.BIGRAMS_20K)
-    sums = linear.term_sums(weights, linear.label_table(labels, NB_CLAUSES), len(NB_CLAUSES), "weight")
+    labels = nb_labels(train)
+    vocabulary = V.fit(train, V.BIGRAMS_20K)
+    labelled = linear.with_labels(train, labels, NB_CLAUSES)
+    weights = V.transform(labelled, vocabulary, V.BIGRAMS_20K, carry=linear.mask_names(len(NB_CLAUSES)))
+    sums = linear.term_sums(weights, len(NB_CLAUSES), "weight")
     shares = labels.groupBy("clause").agg(F.avg("y").alias("share"))
     return blocks.chi2(sums, shares, NB_CLAUSES)
 

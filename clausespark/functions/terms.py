@@ -51,3 +51,31 @@ def word_char_ngrams(word: Column, lo: int, hi: int) -> Column:
 
     parts = [of_size(n) for n in range(lo, hi + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+
+def counted(terms: Column) -> Column:
+    """Distinct terms of an array with their counts, as an array of (term, tf).
+
+    The array is sorted; a term's count is the distance to the start of the next one. A text is
+    thus counted inside its own row, before any term row is made.
+    """
+
+    def runs(ordered: Column) -> Column:
+        n = F.size(ordered)
+        starts = F.filter(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
+        )
+
+        def measured(at: Column) -> Column:
+            return F.transform(
+                at,
+                lambda start, k: F.struct(
+                    F.get(ordered, start).alias("term"),
+                    (F.coalesce(F.get(at, k + 1), n) - start).cast("long").alias("tf"),
+                ),
+            )
+
+        return F.when(n > 0, bind(starts, measured))
+
+    return bind(F.sort_array(terms), runs)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from clausespark.operators.taxonomy import risk_level
+from clausespark.session import cut_lineage
 
 
 def describe(df: DataFrame, measures: Sequence[str]) -> DataFrame:
@@ -95,8 +96,11 @@ def cooccurrence(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def label_correlation(labels: DataFrame, top: int = 12, id_col: str = "doc_id") -> DataFrame:
-    """Pearson correlation among the most frequent labels, from label-set counts."""
-    sets = label_sets(labels, id_col)
+    """Pearson correlation among the most frequent labels, from label-set counts.
+
+    The sets are written out: the counts, the choice of labels and the pairs all read them.
+    """
+    sets = cut_lineage(label_sets(labels, id_col))
     pairs_counted = set_cooccurrence(sets)
     n = sets.agg(F.sum("n")).scalar()
     diagonal = pairs_counted.where(F.col("clause_a") == F.col("clause_b"))

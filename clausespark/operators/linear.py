@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausespark.operators.vocabulary import TermSpec, bounded, by_document, term_rows
+from clausespark.operators.vocabulary import TermSpec, bounded, by_document, count_terms
 
 
 def label_table(labels: DataFrame, clauses: Sequence[str], id_col: str = "doc_id") -> DataFrame:
@@ -49,12 +49,40 @@ def class_weights(labels: DataFrame, cap: float = 20.0) -> DataFrame:
     )
 
 
-def term_sums(weights: DataFrame, y: DataFrame, k: int, value: str = "tf", id_col: str = "doc_id") -> DataFrame:
+MASK_BITS = 62
+
+
+def mask_names(k: int) -> list[str]:
+    return [f"_mask{j}" for j in range((k + MASK_BITS - 1) // MASK_BITS)]
+
+
+def with_labels(docs: DataFrame, labels: DataFrame, clauses: Sequence[str], id_col: str = "doc_id") -> DataFrame:
+    """Join the labels to the documents, 62 clauses to a number, while there is one row per text.
+
+    Term rows made later carry the numbers along and need no join with labels.
+    """
+    bits = [
+        F.when((F.col("clause") == c) & (F.col("y") == 1), F.lit(1 << (i % MASK_BITS))).otherwise(F.lit(0)).cast("long")
+        for i, c in enumerate(clauses)
+    ]
+    masks = labels.groupBy(id_col).agg(
+        *[
+            F.bit_or(sum(bits[j * MASK_BITS : (j + 1) * MASK_BITS], F.lit(0).cast("long"))).alias(name)
+            for j, name in enumerate(mask_names(len(clauses)))
+        ]
+    )
+    return docs.join(masks, id_col)
+
+
+def is_positive(i: int) -> Column:
+    return F.shiftright(F.col(f"_mask{i // MASK_BITS}"), i % MASK_BITS).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def term_sums(rows: DataFrame, k: int, value: str = "tf") -> DataFrame:
     """(term, total, p0..pk): sums of ``value`` over all and over each clause's positive documents."""
-    joined = weights.join(y, id_col)
-    return joined.groupBy("term").agg(
+    return rows.groupBy("term").agg(
         F.sum(value).alias("total"),
-        *[F.sum(F.when(F.col(f"y{i}") == 1, F.col(value)).otherwise(0)).alias(f"p{i}") for i in range(k)],
+        *[F.sum(F.when(is_positive(i), F.col(value)).otherwise(0)).alias(f"p{i}") for i in range(k)],
     )
 
 
@@ -134,8 +162,8 @@ def score_counts(docs: DataFrame, model: LinearModel, spec: TermSpec, id_col: st
 
     The term table is broadcast (the spec caps its rows); each document is summed in its task.
     """
-    rows = term_rows(by_document(docs.select(id_col, "text"), id_col), spec, id_col)
-    return _score(docs, rows.join(bounded(model.table, spec), "term"), "n", model, id_col)
+    rows = count_terms(by_document(docs.select(id_col, "text"), id_col), spec, id_col)
+    return _score(docs, rows.join(bounded(model.table, spec), "term"), "tf", model, id_col)
 
 
 def score_weights(

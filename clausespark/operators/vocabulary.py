@@ -1,8 +1,8 @@
 """Vocabularies and TF-IDF as relational jobs over (document, term) counts.
 
-The text is distributed by document once. After that every per-document step (counting, joining the
-vocabulary, normalising) stays in its task; only the corpus statistics of the terms are shuffled,
-already summed per task.
+Terms are counted inside each text's own row, so counting moves nothing; the corpus statistics of the
+terms are summed per task and then shuffled once. Weighting distributes the text by document, joins
+the broadcast vocabulary and normalises in the same task.
 """
 
 from __future__ import annotations
@@ -49,26 +49,30 @@ def by_document(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return df.repartition(id_col)
 
 
-def term_rows(df: DataFrame, spec: TermSpec, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per occurrence: (id, keys, term, n); ``n`` counts repeated words at once."""
-    group = [id_col, *spec.keys]
-    if spec.analyzer == "char_wb":
-        spoken = df.select(*group, F.explode(X.words(F.lower(F.col(text)))).alias("_word"))
-        counted = spoken.groupBy(*group, "_word").agg(F.count("*").alias("n"))
-        return counted.select(*group, F.explode(N.word_char_ngrams(F.col("_word"), spec.lo, spec.hi)).alias("term"), "n")
-    grams = N.word_ngrams(N.word_tokens(F.col(text)), spec.lo, spec.hi)
-    return df.select(*group, F.explode(grams).alias("term"), F.lit(1).cast("long").alias("n"))
-
-
 def count_terms(
-    df: DataFrame, spec: TermSpec, id_col: str = "doc_id", text: str = "text", vocabulary: DataFrame | None = None
+    df: DataFrame,
+    spec: TermSpec,
+    id_col: str = "doc_id",
+    text: str = "text",
+    vocabulary: DataFrame | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, keys, term, tf); with a vocabulary its terms only, filtered before they are counted."""
-    rows = term_rows(by_document(df, id_col), spec, id_col, text)
+    """(id, carried columns, keys, term, tf); with a vocabulary its terms only.
+
+    Each row of ``df`` is one text; no rows are moved.
+    """
+    if spec.analyzer == "char_wb":
+        spelled = F.transform(
+            X.words(F.lower(F.col(text))), lambda word: N.word_char_ngrams(word, spec.lo, spec.hi)
+        )
+        terms = F.flatten(spelled)
+    else:
+        terms = N.word_ngrams(N.word_tokens(F.col(text)), spec.lo, spec.hi)
+    rows = df.select(id_col, *carry, *spec.keys, F.inline(N.counted(terms)))
     if vocabulary is not None:
         known = vocabulary.select(*spec.keys, "term")
         rows = rows.join(bounded(known, spec), [*spec.keys, "term"], "left_semi")
-    return rows.groupBy(id_col, *spec.keys, "term").agg(F.sum("n").alias("tf"))
+    return rows.select(id_col, *carry, *spec.keys, "term", "tf")
 
 
 def bounded(vocabulary: DataFrame, spec: TermSpec) -> DataFrame:
@@ -139,35 +143,42 @@ def fit(df: DataFrame, spec: TermSpec, id_col: str = "doc_id", text: str = "text
 
 
 def transform(
-    df: DataFrame, vocabulary: DataFrame, spec: TermSpec, id_col: str = "doc_id", text: str = "text"
+    df: DataFrame,
+    vocabulary: DataFrame,
+    spec: TermSpec,
+    id_col: str = "doc_id",
+    text: str = "text",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, keys, term, weight): L2-normalised TF-IDF; texts without known terms give no rows."""
-    group = [id_col, *spec.keys]
-    rows = term_rows(by_document(df, id_col), spec, id_col, text)
-    known = vocabulary.select(*spec.keys, "term", "idf", *_ids(vocabulary))
-    joined = rows.join(bounded(known, spec), [*spec.keys, "term"])
-    counted = joined.groupBy(*group, "term", "idf", *_ids(vocabulary)).agg(F.sum("n").alias("tf"))
-    raw = counted.withColumn("_raw", tf_weight(F.col("tf"), spec.sublinear) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*group)))
-    return raw.withColumn("weight", F.col("_raw") / norm).drop("_raw", "idf")
-
+    """(id, carried columns, keys, term, [term_id], tf, weight): L2-normalised TF-IDF.
 
-def _ids(vocabulary: DataFrame) -> list[str]:
-    return ["term_id"] if "term_id" in vocabulary.columns else []
+    Texts without known terms give no rows.
+    """
+    counts = count_terms(by_document(df, id_col), spec, id_col, text, carry=carry)
+    return _weigh(counts, vocabulary, spec, [id_col, *spec.keys], spec.keys)
 
 
 def transform_windows(
     windows: DataFrame, vocabulary: DataFrame, spec: TermSpec, key: str, id_col: str = "doc_id"
 ) -> DataFrame:
     """TF-IDF of each window with one vocabulary for all of them: (id, key, term, weight)."""
-    group = [id_col, key]
-    grams = N.word_ngrams(N.word_tokens(F.col("text")), spec.lo, spec.hi)
-    rows = by_document(windows, id_col).select(*group, F.explode(grams).alias("term"))
-    known = bounded(vocabulary.select("term", "idf", *_ids(vocabulary)), spec)
-    counted = rows.join(known, "term").groupBy(*group, "term", "idf", *_ids(vocabulary)).agg(F.count("*").alias("tf"))
-    raw = counted.withColumn("_raw", tf_weight(F.col("tf"), spec.sublinear) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*group)))
-    return raw.withColumn("weight", F.col("_raw") / norm).drop("_raw", "idf")
+    counts = count_terms(by_document(windows, id_col), spec, id_col, carry=[key])
+    return _weigh(counts, vocabulary, spec, [id_col, key], ())
+
+
+def _weigh(
+    counts: DataFrame, vocabulary: DataFrame, spec: TermSpec, text_keys: Sequence[str], vocabulary_keys: Sequence[str]
+) -> DataFrame:
+    known = vocabulary.select(*vocabulary_keys, "term", "idf", *_ids(vocabulary))
+    joined = counts.join(bounded(known, spec), [*vocabulary_keys, "term"])
+    raw = joined.withColumn("_raw", tf_weight(F.col("tf"), spec.sublinear) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*text_keys)))
+    weighed = raw.withColumn("weight", F.col("_raw") / norm)
+    return weighed.select(*[c for c in counts.columns if c != "tf"], *_ids(vocabulary), "tf", "weight")
+
+
+def _ids(vocabulary: DataFrame) -> list[str]:
+    return ["term_id"] if "term_id" in vocabulary.columns else []
 
 
 def rank_terms(vocabulary: DataFrame) -> DataFrame:

@@ -50,6 +50,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     file would otherwise run all row-wise text work in one task.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if not 0 < len(df.inputFiles()) < cores:
         return df
     return df.repartition(cores, key)

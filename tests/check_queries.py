@@ -39,6 +39,18 @@ def plain(value):
     return value
 
 
+def kind_of(name: str) -> str:
+    """Type families that must agree; sums of whole numbers in SQL need a cast to BIGINT."""
+    name = name.lower()
+    if name in ("tinyint", "smallint", "int", "integer", "bigint", "utinyint", "usmallint", "uinteger", "ubigint"):
+        return "whole"
+    if name in ("float", "double"):
+        return "real"
+    if name in ("string", "varchar"):
+        return "text"
+    return name
+
+
 def key_of(row):
     return tuple((v is None, f"{v:.3f}" if isinstance(v, float) else str(v)) for v in row)
 
@@ -60,6 +72,10 @@ def compare(frame, connection, sql: str) -> tuple[bool, str]:
     names = [d[0] for d in cursor.description]
     if sorted(names) != columns:
         return False, f"columns {columns} != {sorted(names)}"
+    kinds = {d[0]: kind_of(str(d[1])) for d in cursor.description}
+    wrong = {c: (t, kinds[c]) for c, t in frame.dtypes if kind_of(t) != kinds[c]}
+    if wrong:
+        return False, f"types differ: {wrong}"
     order = [names.index(c) for c in columns]
     want = [tuple(plain(r[i]) for i in order) for r in cursor.fetchall()]
     if len(got) != len(want):

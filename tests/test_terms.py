@@ -96,8 +96,8 @@ def labels(spark):
 
 
 def test_chi2(docs, labels):
-    counts = V.count_terms(docs, V.TermSpec(hi=1))
-    sums = linear.term_sums(counts, linear.label_table(labels, ["c"]), 1)
+    counts = V.count_terms(linear.with_labels(docs, labels, ["c"]), V.TermSpec(hi=1), carry=linear.mask_names(1))
+    sums = linear.term_sums(counts, 1)
     shares = labels.groupBy("clause").agg(F.avg("y").alias("share"))
     got = {r["term"]: r["chi2"] for r in blocks.chi2(sums, shares, ["c"]).collect()}
     total, pos = Counter(), Counter()
@@ -115,8 +115,8 @@ def test_chi2(docs, labels):
 @pytest.mark.parametrize("kind", ["multinomial", "complement"])
 def test_naive_bayes(docs, labels, kind):
     spec = V.TermSpec(hi=1)
-    counts = V.count_terms(docs, spec)
-    sums = linear.term_sums(counts, linear.label_table(labels, ["c"]), 1)
+    counts = V.count_terms(linear.with_labels(docs, labels, ["c"]), spec, carry=linear.mask_names(1))
+    sums = linear.term_sums(counts, 1)
     model = {"multinomial": linear.multinomial_nb, "complement": linear.complement_nb}[kind](sums, labels, ["c"])
     got = {r["doc_id"]: r["prob"] for r in linear.score_counts(docs, model, spec).collect()}
     vocab = sorted({t for text in DOCS.values() for t in tokens(text)})
@@ -147,3 +147,17 @@ def test_pooled_vectors(spark):
     mean = {(r["g"], r["dim"]): r["value"] for r in blocks.pool_vectors(df, "g").collect()}
     assert mean[(1, 0)] == 2.0 and mean[(1, 1)] == 3.0
     assert {r["g"]: r["pooled"] for r in blocks.pooled_array(df, "g", 2, how="max").collect()}[1] == [3.0, 4.0]
+
+
+def test_label_numbers_hold_many_clauses(spark):
+    """More clauses than fit in one number; each keeps its own positives."""
+    names = [f"c{i}" for i in range(130)]
+    docs = spark.createDataFrame([(d, f"aa{d} bb") for d in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame(
+        [(d, c, int((i + d) % 3 == 0)) for d in range(4) for i, c in enumerate(names)], "doc_id long, clause string, y int"
+    )
+    rows = V.count_terms(linear.with_labels(docs, labels, names), V.TermSpec(hi=1), carry=linear.mask_names(130))
+    got = {r["term"]: r for r in linear.term_sums(rows, 130).collect()}
+    for i in range(130):
+        assert got["bb"][f"p{i}"] == sum((i + d) % 3 == 0 for d in range(4))
+        assert got["aa2"][f"p{i}"] == int((i + 2) % 3 == 0)
