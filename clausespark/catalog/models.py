@@ -1,4 +1,4 @@
-"""Fitted models and experiment runs. They have no SQL; tests hold their invariants."""
+"""Fitted models and experiment runs. Fits have no SQL; tests hold their invariants."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from clausespark.catalog import register
-from clausespark.catalog.inputs import contracts, score_rows
+from clausespark.catalog.inputs import SCORES_SQL, contracts, hash_bucket_sql, quoted, score_rows
+from clausespark.catalog.terms import counts_cte, grams_sql
 from clausespark.operators import blocks, linear, reports
 from clausespark.operators import classifiers as C
 from clausespark.operators import vocabulary as V
@@ -158,10 +159,40 @@ def production_evaluation(spark, sf_dir):
     return production.evaluate(bundle, data.test, data.test_labels)
 
 
-@register("experiment_out_of_fold")
+def _out_of_fold_sql() -> str:
+    """Every fold is a copy of the training rows of the other folds; all steps run per fold."""
+    clauses = ", ".join(quoted(c) for c in CLAUSES)
+    return f"""WITH {SCORES_SQL},
+labels AS (SELECT doc_id, clause, y FROM scores WHERE clause IN ({clauses}) AND split = 'train'),
+train AS (SELECT doc_id, text FROM contracts WHERE {hash_bucket_sql()} >= 20),
+perm AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':42'), doc_id) AS r, count(*) OVER () AS n FROM train),
+folds AS (SELECT doc_id, least((r - 1) // (n // 3), 2)::INT AS fold FROM perm),
+others AS (SELECT f, doc_id FROM folds, (SELECT unnest([0, 1, 2]) AS f) WHERE fold <> f),
+{counts_cte(grams_sql(1, 2, 'train'))},
+vocab AS (SELECT f, term FROM (SELECT f, term, count(*) AS df, sum(tf) AS cf FROM counts JOIN others USING (doc_id) GROUP BY 1, 2)
+  JOIN (SELECT f, count(*) AS n FROM others GROUP BY f) USING (f) WHERE df >= 2 AND df <= 0.95::DOUBLE * n
+  QUALIFY row_number() OVER (PARTITION BY f ORDER BY cf DESC, term) <= {SMALL.max_features}),
+kept AS (SELECT f, doc_id, term, tf FROM counts JOIN others USING (doc_id) SEMI JOIN vocab USING (f, term)),
+cls AS (SELECT f, clause, sum(y)::DOUBLE AS n1, sum(1 - y)::DOUBLE AS n0 FROM labels JOIN others USING (doc_id) GROUP BY 1, 2),
+tot AS (SELECT f, term, sum(tf)::DOUBLE AS total FROM kept GROUP BY 1, 2),
+pos AS (SELECT f, clause, term, sum(tf)::DOUBLE AS p FROM kept JOIN labels USING (doc_id) WHERE y = 1 GROUP BY 1, 2, 3),
+sums AS (SELECT cls.f, cls.clause, tot.term, total, coalesce(p, 0) AS p, n1, n0
+  FROM cls JOIN tot USING (f) LEFT JOIN pos USING (f, clause, term)),
+coef AS (SELECT f, clause, term, ln((p + 0.5) / (sum(p) OVER c + 0.5 * count(*) OVER c))
+    - ln((total - p + 0.5) / (sum(total - p) OVER c + 0.5 * count(*) OVER c)) AS w, ln(n1 / n0) AS bias
+  FROM sums WINDOW c AS (PARTITION BY f, clause)),
+margin AS (SELECT doc_id, clause, sum(tf * w) AS m FROM counts JOIN folds USING (doc_id)
+  JOIN coef ON coef.f = folds.fold AND coef.term = counts.term GROUP BY 1, 2)
+SELECT l.doc_id, l.clause, fold, round(1 / (1 + exp(-(coalesce(m, 0) + bias))), 5) AS prob, y
+FROM labels l JOIN folds USING (doc_id) JOIN (SELECT f AS fold, clause, any_value(bias) AS bias FROM coef GROUP BY 1, 2) b USING (fold, clause)
+LEFT JOIN margin USING (doc_id, clause)"""
+
+
+@register("experiment_out_of_fold", _out_of_fold_sql())
 def experiment_out_of_fold(spark, sf_dir):
     data = Data(spark, sf_dir)
-    return X.out_of_fold(data.train, data.train_labels, X.naive_bayes(CLAUSES, SMALL), 3)
+    scores = X.out_of_fold(data.train, data.train_labels, X.naive_bayes(CLAUSES, SMALL), 3)
+    return scores.withColumn("prob", F.round("prob", 5))
 
 
 @register("experiment_cross_validated_thresholds")

@@ -111,6 +111,17 @@ def term_char_ngrams(spark, sf_dir):
     return totals.where("df >= 2")
 
 
+@register(
+    "term_counts_without_accents",
+    f"""WITH folded AS (SELECT doc_id, strip_accents(text) AS text FROM documents),
+{counts_cte(grams_sql(1, 2, 'folded'))} SELECT term, sum(tf)::BIGINT AS cf, count(*) AS df FROM counts GROUP BY term HAVING count(*) >= 2""",
+)
+def term_counts_without_accents(spark, sf_dir):
+    counts = V.count_terms(plain_documents(spark, sf_dir), V.TermSpec(hi=2, strip_accents=True))
+    totals = counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+    return totals.where("df >= 2")
+
+
 VOCAB_COLUMNS = "term, df, cf, round(idf, 6) AS idf, term_id::INT AS term_id"
 
 

@@ -224,10 +224,10 @@ def format_report(record: DataFrame, version: str = "production") -> DataFrame:
         for clause in lists[level]:
             value = F.try_element_at("clauses", F.lit(clause))
             line = F.format_string(
-                f"  %s {clause:<35} prob=%.3f  thr=%.3f",
+                f"  %s {clause:<35} prob=%s  thr=%s",
                 F.when(value["detected"], "[DETECTED]").otherwise("[absent]  "),
-                value["probability"],
-                value["threshold"],
+                F.format_number(value["probability"], 3),
+                F.format_number(value["threshold"], 3),
             )
             parts.append(F.when(value.isNotNull(), line))
     actions = F.array_join(F.transform("high_risk_detected", lambda c: F.concat(F.lit("  !  "), c)), "\n")

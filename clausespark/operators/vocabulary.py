@@ -35,6 +35,7 @@ class TermSpec:
     max_features: int | None = 40_000
     sublinear: bool = True
     smooth_idf: bool = True
+    strip_accents: bool = False
     keys: tuple[str, ...] = ()  # extra grouping columns, such as a section or window number
 
 
@@ -61,13 +62,14 @@ def count_terms(
 
     Each row of ``df`` is one text; no rows are moved.
     """
+    source = X.strip_accents(F.col(text)) if spec.strip_accents else F.col(text)
     if spec.analyzer == "char_wb":
         spelled = F.transform(
-            X.words(F.lower(F.col(text))), lambda word: N.word_char_ngrams(word, spec.lo, spec.hi)
+            X.words(F.lower(source)), lambda word: N.word_char_ngrams(word, spec.lo, spec.hi)
         )
         terms = F.flatten(spelled)
     else:
-        terms = N.word_ngrams(N.word_tokens(F.col(text)), spec.lo, spec.hi)
+        terms = N.word_ngrams(N.word_tokens(source), spec.lo, spec.hi)
     rows = df.select(id_col, *carry, *spec.keys, F.inline(N.counted(terms)))
     if vocabulary is not None:
         known = vocabulary.select(*spec.keys, "term")
