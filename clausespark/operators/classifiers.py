@@ -254,6 +254,12 @@ def _last_stage(model: Model) -> Model:
     return model.stages[-1] if hasattr(model, "stages") else model
 
 
+def _feature_places(model: Model) -> list[int] | None:
+    """Positions in the full vector of a model that saw a slice of it."""
+    stages = getattr(model, "stages", [])
+    return stages[0].getIndices() if stages and isinstance(stages[0], VectorSlicer) else None
+
+
 def importances(models: ClauseModels, vocabulary: DataFrame, top: int = 20) -> DataFrame:
     """(clause, term, weight): the largest positive tree importances of each clause."""
     return _named(models, vocabulary, lambda m: m.featureImportances, top)
@@ -268,9 +274,10 @@ def _named(models: ClauseModels, vocabulary: DataFrame, vector: Callable[[Model]
     rows = []
     for clause, model in models.models.items():
         values = vector(_last_stage(model)).toArray()
+        places = _feature_places(model)
         at = [int(i) for i in values.nonzero()[0]]
         if top is not None:
             at = sorted(at, key=lambda i: (-values[i], i))[:top]
-        rows += [(clause, i, float(values[i])) for i in at]
+        rows += [(clause, places[i] if places else i, float(values[i])) for i in at]
     table = vocabulary.sparkSession.createDataFrame(rows, "clause string, term_id int, weight double")
     return table.join(F.broadcast(vocabulary.select("term_id", "term")), "term_id").select("clause", "term", "weight")

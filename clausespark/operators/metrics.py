@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausespark.fixed import prompts
+from clausespark.operators.ordering import exact_percentiles
 from clausespark.operators.taxonomy import is_high_risk, risk_level
 from clausespark.operators.thresholds import curve, f1_of
 
@@ -81,15 +82,14 @@ def evaluate(preds: DataFrame, version: str = "production") -> DataFrame:
 
 
 def timing_summary(timings: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Count, mean and exact median of whole-number timings and the rate per thousand units."""
-    histogram = timings.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    total = F.sum(F.col(value) * F.col("_n"))
-    return histogram.groupBy(*keys).agg(
-        F.sum("_n").alias("n"),
-        (total / F.sum("_n")).alias("mean"),
-        F.percentile(value, F.lit(0.5), F.col("_n")).alias("median"),
-        (F.sum("_n") * 1000 / total).alias("per_thousand"),
+    """Count, mean and exact median of timings, and the number that fits into a thousand units."""
+    keyed = timings.withColumn("_all", F.lit(0))
+    groups = [*keys, "_all"]
+    sums = keyed.groupBy(*groups).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), (F.count(value) * 1000 / F.sum(value)).alias("per_thousand")
     )
+    medians = exact_percentiles(keyed, groups, value, {"median": 0.5})
+    return sums.join(medians, groups).select(*keys, "n", "mean", "median", "per_thousand")
 
 
 def token_cost(tokens: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

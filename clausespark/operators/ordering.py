@@ -64,6 +64,9 @@ def global_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], nam
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Interpolated percentiles per key from a value histogram, without holding a key in one task."""
+    if not keys:
+        keyed = df.withColumn("_all", F.lit(0))
+        return exact_percentiles(keyed, ["_all"], value, shares).drop("_all")
     histogram = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     ranked = running_totals(histogram, keys, [F.col(value)], {"_upto": "_n"})
     totals = ranked.groupBy(*keys).agg(F.max("_upto").alias("_total"))

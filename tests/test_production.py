@@ -110,6 +110,26 @@ def test_linear_models_and_calibrated_svm(corpus):
     assert "compete" in top or "control" in top or "change" in top
 
 
+def test_sliced_models_name_their_own_terms(corpus):
+    docs, labels = corpus
+    spec = V.TermSpec(hi=1, max_features=100)
+    vocabulary = V.fit(docs, spec)
+    ids = {r["term"]: r["term_id"] for r in vocabulary.collect()}
+    table = C.training_table(V.to_vectors(V.transform(docs, vocabulary, spec), docs, 100), labels, CLAUSES)
+    kept = {c: [ids["compete"], ids["returns"]] for c in CLAUSES}
+    weights = C.coefficients(C.fit_per_clause(table, labels, CLAUSES, C.on_terms(C.logistic(), kept)), vocabulary)
+    got = {(r["clause"], r["term"]): r["weight"] for r in weights.collect()}
+    assert {t for _, t in got} <= {"compete", "returns"}
+    assert got[("Non-Compete", "compete")] > 0 > got[("Non-Compete", "returns")]
+
+
+def test_timing_summary_without_groups(spark):
+    from clausespark.operators.metrics import timing_summary
+
+    row = timing_summary(spark.createDataFrame([(1,), (2,), (9,)], "ms long"), "ms").first()
+    assert (row["n"], row["mean"], row["median"], row["per_thousand"]) == (3, 4.0, 2.0, 250.0)
+
+
 def test_out_of_fold_scores_cover_every_document_once(corpus):
     docs, labels = corpus
     oof = experiments.out_of_fold(docs, labels, experiments.naive_bayes(CLAUSES, V.TermSpec(hi=1, max_features=100)), 3)
