@@ -56,7 +56,7 @@ def model_boosted_trees(spark, sf_dir):
 
 @register("model_larger_boosted_trees")
 def model_larger_boosted_trees(spark, sf_dir):
-    """The larger trees on chi-square chosen terms of one clause."""
+    """The larger trees for one clause on a small vocabulary of single words."""
     data = Data(spark, sf_dir, CLAUSES[:1], V.TermSpec(hi=1, max_features=200)).vectors()
     models = C.fit_per_clause(data.table, data.train_labels, data.clauses, C.larger_boosted_trees(), min_positives=3)
     return data.scored(models)
