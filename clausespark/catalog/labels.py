@@ -18,7 +18,7 @@ from clausespark.catalog.inputs import (
 )
 from clausespark.fixed.taxonomy import RISK_VERSIONS, UNFAIR_TERM_LABELS
 from clausespark.operators import splits
-from clausespark.session import ensure_checkpoint_dir
+from clausespark.session import shared_folder
 from clausespark.sources import qa_json, tables
 
 # Question asked about each line of a contract -> phrase that answers it.
@@ -224,7 +224,7 @@ def binary_target_rows(spark, sf_dir):
 
 def _folder(spark, name):
     """A new folder under the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/written/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/written/{name}-{uuid.uuid4().hex}"
 
 
 @register(

@@ -1,8 +1,8 @@
-"""Session defaults and the shared-folder checkpoint used to cut lineage."""
+"""Session defaults and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,25 +22,30 @@ def get_session(app_name: str = "clausespark", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder named by the cluster; a temporary one only where none is named."""
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, seen by the driver and every executor.
+
+    It lies below the ``spark.checkpoint.dir`` the cluster names, else below the warehouse folder,
+    and goes when the session ends.
+    """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="clausespark-checkpoint-"))
-    return context.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{root.rstrip('/')}/clausespark-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written rows.
+    """Write ``df`` as parquet to the shared folder and go on from the written rows.
 
-    Used where two branches must see the very same rows (range slices, model scores): a
-    recomputed branch after an executor loss then reads the written copy.
+    Used where two branches must see the very same rows (range slices, model scores) or where a
+    costly table is read again; readers prune its columns and know its size.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
