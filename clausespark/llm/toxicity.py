@@ -112,7 +112,7 @@ def fit(
     base = whole["toxic"] / whole["docs"]
     # binomial z of the share of toxic documents among those with the feature
     z = (F.col("toxic") - F.col("docs") * base) / F.sqrt(F.col("docs") * base * (1 - base))
-    telling = counts.filter("feature >= 0").withColumn("z", z).filter(f"z > 4 and toxic >= 3 and toxic > {min(0.6, 2.5 * base)} * docs")
+    telling = counts.filter("feature >= 0").withColumn("z", z).filter("z > 4 and toxic >= 3 and 2 * toxic >= docs")
     chosen = np.array(sorted(r["feature"] for r in telling.orderBy(F.desc("z"), "feature").limit(features).collect()), np.int64)
 
     def instances():
@@ -139,7 +139,7 @@ def fit(
 
 
 def train_noisy_or(
-    toxic: np.ndarray, pairs: list[np.ndarray], sentences: np.ndarray, features: int, steps: int = 300, decay: float = 2e-4
+    toxic: np.ndarray, pairs: list[np.ndarray], sentences: np.ndarray, features: int, steps: int = 500, decay: float = 2e-4
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that fit the labels of bags; ``pairs`` are sentence * features + feature per bag.
 
@@ -159,8 +159,8 @@ def train_noisy_or(
     sentence, feature, bag = map(np.concatenate, (sentence_of, feature_of, bag_of))
     plain = np.maximum(0, sentences - np.bincount(bag, minlength=len(toxic)))
     y = toxic.astype(float)
-    w, b = np.zeros(features), -4.0
-    gw, gb = np.full(features, 1e-3), 1e-3
+    w, b = np.zeros(features), -7.0
+    gw, gb = np.full(features, 1e-6), 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, weights=w[feature], minlength=base) + b, -30, 30)))
         p0 = 1 / (1 + math.exp(-b))
@@ -173,7 +173,7 @@ def train_noisy_or(
         gw += grad_w**2
         gb += grad_b**2
         w += 0.5 * grad_w / np.sqrt(gw)
-        b = min(-2.0, b + 0.1 * grad_b / math.sqrt(gb))
+        b = min(-3.0, b + 0.2 * grad_b / math.sqrt(gb))
     return w.astype(np.float32), float(b)
 
 
