@@ -10,7 +10,9 @@
    are confirmed on full sets. Components follow from the confirmed links.
 4. A band whose classes then lie in several components may still hide links: there, all pairs across
    components that pass the estimate are confirmed too. Pairs inside a component can't change it. So
-   every candidate pair is either confirmed, refuted or already connected: nothing is capped.
+   every candidate pair is either confirmed, refuted or already connected: nothing is capped. In a
+   band with more than ``FEW`` such classes no pairs are written: its sets are compared in blocks of
+   ``BLOCK`` by ``BLOCK`` classes, and a block gives only the links of a spanning forest.
 
 The number of bands makes a pair at the threshold share none with probability ``MISS`` at most.
 
@@ -25,6 +27,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,7 @@ from clausespark.session import cut_lineage
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Minima per band, bits kept of a minimum, and the largest chance to miss a pair at the threshold.
 ROWS, BITS, MISS = 5, 4, 1e-5
+FEW, BLOCK = 32, 1_000
 
 
 def bands_for(similarity: float) -> int:
@@ -143,6 +147,55 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     return both.filter(F.col("shared") * whole >= (F.col("sum") - F.col("shared")) * part).select("a", "b").distinct()
 
 
+def links_in_blocks(members: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """``a, b``: links across components among the members (band, rep, component, members) of each band."""
+    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "component")
+    part, whole = similarity
+
+    def link(frame: pd.DataFrame) -> pd.DataFrame:
+        sizes = frame["shingles"].map(len).to_numpy()
+        names, back, times = np.unique(np.concatenate(frame["shingles"].to_numpy()), return_inverse=True, return_counts=True)
+        repeated = np.cumsum(times > 1) - 1  # a shingle of one member is in no intersection
+        use = times[back] > 1
+        shared = np.zeros((len(frame), len(frame)), np.float32)
+        row, column = np.repeat(np.arange(len(frame)), sizes)[use], repeated[back[use]]
+        for at in range(0, int(repeated[-1]) + 1 if len(names) else 0, 4096):
+            some = (column >= at) & (column < at + 4096)
+            held = np.zeros((len(frame), 4096), np.float32)
+            held[row[some], column[some] - at] = 1
+            shared += held @ held.T
+        shared, total = shared.astype(np.float64), sizes[:, None] + sizes[None, :]
+        component, own = frame["component"].to_numpy(), frame["own"].to_numpy()
+        linked = (shared * whole >= (total - shared) * part) & (component[:, None] != component[None, :])
+        if frame["x"].iloc[0] != frame["y"].iloc[0]:
+            linked &= own[:, None] != own[None, :]  # pairs inside a block are another group's
+        a, b = spanning_forest(linked)
+        names = frame["rep"].to_numpy()
+        return pd.DataFrame({"a": np.minimum(names[a], names[b]), "b": np.maximum(names[a], names[b])})
+
+    with_sets = dealt.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    return with_sets.groupBy("band", "x", "y").applyInPandas(link, "a long, b long")
+
+
+def spanning_forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the symmetric matrix connects."""
+    unseen, a, b = np.ones(len(linked), bool), [], []
+    for root in range(len(linked)):
+        waiting = [root] if unseen[root] else []
+        unseen[root] = False
+        while waiting:
+            i = waiting.pop()
+            found = np.flatnonzero(linked[i] & unseen)
+            unseen[found] = False
+            a.extend([i] * len(found))
+            b.extend(found.tolist())
+            waiting.extend(found.tolist())
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -176,9 +229,16 @@ def near_duplicates(
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
     crossing = cut_lineage(placed.join(cut_lineage(mixed), "band").join(bits, "rep"))
     one, other = (crossing.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "component", "bits")]) for x in "ab")
-    across = one.join(other, "band").filter((F.col("component_a") < F.col("component_b")) & likely)
+    apart = (F.col("one.band") == F.col("other.band")) & (F.col("component_a") != F.col("component_b")) & likely
+    open_ends = cut_lineage(one.alias("one").join(other.alias("other"), apart, "left_semi"))
+    counted = open_ends.join(cut_lineage(open_ends.groupBy("band").agg(F.count("*").alias("members"))), "band")
+    few = counted.filter(F.col("members") <= FEW)
+    fewer = few.select("band", *[F.col(f"{c}_a").alias(f"{c}_b") for c in ("rep", "component", "bits")])
+    across = few.join(fewer, "band").filter((F.col("component_a") < F.col("component_b")) & likely)
     across = across.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-    more = cut_lineage(confirmed(across.join(tried, ["a", "b"], "left_anti"), sets, similarity))
+    many = counted.filter(F.col("members") > FEW).select("band", F.col("rep_a").alias("rep"), F.col("component_a").alias("component"), "members")
+    in_blocks = links_in_blocks(many, sets, similarity)
+    more = cut_lineage(confirmed(across.join(tried, ["a", "b"], "left_anti"), sets, similarity).union(in_blocks).distinct())
     if more.head(1):
         components = connected_components(links.union(more))
 

@@ -217,3 +217,29 @@ def test_toxicity_learns_sentences_from_document_labels(spark):
     texts = dict(rows)
     for r in got:
         assert all("zorgblat" in texts[r["doc_id"]][o["start"] : o["end"]] for o in r["offending"] if r["predicted"])
+
+
+def test_large_bands_give_the_same_components(spark, monkeypatch):
+    import random
+
+    from conftest_llm import phrase
+
+    draw, base, rows = random.Random(5), phrase(77, 90).split(), []
+    for k in range(60):
+        w = list(base)
+        for _ in range(draw.randint(0, 5)):
+            w[draw.randrange(len(w))] = f"edit{k}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for _, t in rows for w in [t.split()]]
+    part = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 85 * len(a | b):
+                part = [part[j] if p == part[i] else p for p in part]
+    want = {(k, min(j for j, q in enumerate(part) if q == p)) for k, p in enumerate(part)}
+    for few, block in ((32, 1_000), (1, 7), (1, 1_000)):
+        monkeypatch.setattr(minhash_dedup, "FEW", few)
+        monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+        got = minhash_dedup.near_duplicates(docs, 3, (85, 100)).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in got} == want
