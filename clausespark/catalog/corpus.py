@@ -21,7 +21,6 @@ from clausespark.functions import text as X
 from clausespark.operators import corpus_stats as S
 from clausespark.operators import splits, taxonomy
 from clausespark.operators.features import feature_groups, standardize
-from clausespark.session import spread
 
 
 def in_list(names) -> str:
@@ -37,7 +36,7 @@ def risk_sql(column: str = "clause", version: str = "production", other: str = "
 
 
 def sized_documents(spark, sf_dir):
-    docs = spread(documents(spark, sf_dir).select("doc_id", "lang", "source", "text"), "doc_id")
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
     text = F.col("text")
     return docs.select(
         "doc_id", "lang", "source", F.length(text).cast("long").alias("text_len"), X.word_count(text).alias("n_words")
@@ -303,7 +302,7 @@ def feature_group_coverage(spark, sf_dir):
     )
 
 
-SCALED = ["char_count", "word_count", "shall_count", "year_terms", "coc_trigger"]
+SCALED = P.ENHANCED_ORDER
 
 
 @register(

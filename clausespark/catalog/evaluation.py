@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clausespark.catalog import register
 from clausespark.catalog.corpus import in_list, risk_sql
-from clausespark.catalog.inputs import clause_scores, contracts, quoted, with_scores
+from clausespark.catalog.inputs import clause_scores, contracts, hash_bucket_sql, quoted, with_scores
 from clausespark.catalog.text_features import WORDS_SQL
 from clausespark.fixed.taxonomy import RISK_VERSIONS
 from clausespark.functions import text as X
@@ -14,7 +14,7 @@ from clausespark.operators import analysis as A
 from clausespark.operators import ensembles as E
 from clausespark.operators import metrics as M
 from clausespark.operators import thresholds as T
-from clausespark.operators.splits import hash_bucket
+from clausespark.operators.splits import hash_bucket, hash_split
 from clausespark.session import cut_lineage
 
 HIGH_SQL = in_list(RISK_VERSIONS["production"]["HIGH"])
@@ -168,17 +168,17 @@ def threshold_scale_sweep_diagnostic(spark, sf_dir):
 @register(
     "threshold_scaled_prior",
     with_scores(
-        f""", {PRIOR}, {TRAIN}, {_scales_sql(T.VALIDATION_SCALES, 'train')},
-picked AS (SELECT scale FROM sweep ORDER BY macro_f1 DESC, scale LIMIT 1)
+        f""", {PRIOR}, {TRAIN}, validation AS (SELECT * FROM train WHERE {hash_bucket_sql(seed=7)} < 20), {_scales_sql(T.VALIDATION_SCALES, 'validation')},
+picked AS (SELECT scale FROM sweep ORDER BY round(macro_f1, 9) DESC, scale LIMIT 1)
 SELECT clause, scale, round(thr * scale, 6) AS thr FROM prior, picked"""
     ),
 )
 def threshold_scaled_prior(spark, sf_dir):
-    """The scale is picked on training-side scores and multiplies every clause's rate."""
+    """The scale is picked on a fifth of the training documents and multiplies every clause's rate."""
     train, _ = halves(spark, sf_dir)
     rates = T.class_prior(train)
-    scale = T.pick_scale(T.scale_sweep(train, rates, T.VALIDATION_SCALES)).first()["scale"]
-    return rounded(T.scaled_prior(rates, scale).withColumn("scale", F.lit(scale)))
+    validation = train.where(hash_bucket("doc_id", 7) < 20)
+    return rounded(T.scaled_prior(rates, T.pick_scale(T.scale_sweep(validation, rates, T.VALIDATION_SCALES))))
 
 
 CURVE = """points AS (SELECT clause, prob, sum(sum(y)) OVER d AS tp, sum(count(*)) OVER d AS flagged,
@@ -448,7 +448,7 @@ ERRORS = f"""{PREDS}, errs AS (SELECT doc_id, sum(y)::BIGINT AS n_true_labels, s
 
 
 def document_errors(spark, sf_dir):
-    docs = contracts(spark, sf_dir).select("doc_id", X.word_count(F.col("text")).alias("word_count"))
+    docs = hash_split(contracts(spark, sf_dir)).where("split = 'test'").select("doc_id", X.word_count(F.col("text")).alias("word_count"))
     return A.document_errors(predictions(spark, sf_dir)[1], docs)
 
 
@@ -742,7 +742,7 @@ def board(spark, sf_dir):
     "leaderboard",
     with_scores(
         f""", {BOARD} SELECT model, family, round(macro_f1, 6) AS macro_f1, round(hr_f1, 6) AS hr_f1,
-  row_number() OVER (ORDER BY board.macro_f1 DESC, model)::INT AS rank, round(board.macro_f1 - 0.5, 6) AS delta FROM board"""
+  row_number() OVER (ORDER BY round(board.macro_f1, 9) DESC, model)::INT AS rank, round(board.macro_f1 - 0.5, 6) AS delta FROM board"""
     ),
 )
 def leaderboard(spark, sf_dir):
@@ -752,8 +752,8 @@ def leaderboard(spark, sf_dir):
 @register(
     "leaderboard_champions",
     with_scores(
-        f""", {BOARD} SELECT (SELECT model FROM board ORDER BY macro_f1 DESC, model DESC LIMIT 1) AS macro_champion,
-  (SELECT round(max(macro_f1), 6) FROM board) AS macro_f1, (SELECT model FROM board ORDER BY hr_f1 DESC, model DESC LIMIT 1) AS hr_champion,
+        f""", {BOARD} SELECT (SELECT model FROM board ORDER BY round(macro_f1, 9) DESC, model DESC LIMIT 1) AS macro_champion,
+  (SELECT round(max(macro_f1), 6) FROM board) AS macro_f1, (SELECT model FROM board ORDER BY round(hr_f1, 9) DESC, model DESC LIMIT 1) AS hr_champion,
   (SELECT round(max(hr_f1), 6) FROM board) AS hr_f1"""
     ),
 )
@@ -763,7 +763,7 @@ def leaderboard_champions(spark, sf_dir):
 
 @register(
     "leaderboard_best_of_family",
-    with_scores(f", {BOARD} SELECT family, arg_max(model, macro_f1) AS model, round(max(macro_f1), 6) AS macro_f1 FROM board GROUP BY family"),
+    with_scores(f", {BOARD} SELECT family, first(model ORDER BY round(macro_f1, 9) DESC, model DESC) AS model, round(max(macro_f1), 6) AS macro_f1 FROM board GROUP BY family"),
 )
 def leaderboard_best_of_family(spark, sf_dir):
     return rounded(A.best_of_family(board(spark, sf_dir)))

@@ -13,7 +13,6 @@ from clausespark.fixed.keyword_rules import KEYWORD_RULES
 from clausespark.fixed.patterns import HIGHLIGHT_PATTERNS
 from clausespark.functions import text as X
 from clausespark.operators.splits import hash_split
-from clausespark.session import spread
 
 # Word of the supplied prose -> contract phrase put in its place.
 PHRASES = [
@@ -69,7 +68,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, text) with contract phrases in the text."""
-    docs = spread(documents(spark, sf_dir).select("doc_id", "lang", "source", "text"), "doc_id")
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
     return docs.withColumn("text", contract_text(F.col("text")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -217,7 +219,7 @@ def experiment_vocabulary_sizes(spark, sf_dir):
 @register("experiment_ablation")
 def experiment_ablation(spark, sf_dir):
     data = Data(spark, sf_dir, CLAUSES[:1])
-    arms = X.ablation_arms(data.clauses, V.TermSpec(hi=2, max_features=300), trees=10)
+    arms = X.ablation_arms(data.clauses, V.TermSpec(hi=2, max_features=300), trees=10, fewer=75, characters=replace(V.CHARACTERS_20K, max_features=300))
     rows = X.run_arms(arms, data.train, data.train_labels, data.test, data.test_labels)
     return X.with_deltas(rows, "champion").drop("seconds")
 
@@ -245,7 +247,7 @@ def model_block_importances(spark, sf_dir):
     models = C.fit_per_clause(table, data.train_labels, data.clauses, C.boosted_trees())
     offset = data.spec.max_features
     block = spark.createDataFrame([(offset + i, n) for i, n in enumerate(names)], "term_id int, term string")
-    top = C.importances(models, block, top=offset)
+    top = C.importances(models, block, top=None)
     return reports.top_importances(top, 5).select("clause", F.col("term").alias("feature"), "weight")
 
 

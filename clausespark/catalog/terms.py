@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clausespark.catalog import register
 from clausespark.catalog.inputs import (
+    CLAUSE_NAMES,
     CONTRACTS_SQL,
     SCORES_SQL,
     contracts,
@@ -20,7 +21,7 @@ from clausespark.catalog.text_features import WORDS_SQL
 from clausespark.functions import text as X
 from clausespark.operators import blocks, linear, rules, splits
 from clausespark.operators import vocabulary as V
-from clausespark.session import cut_lineage, spread
+from clausespark.session import cut_lineage
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 
@@ -75,7 +76,7 @@ def weights_cte(sublinear: bool = True, name: str = "weights", counts: str = "co
 
 
 def plain_documents(spark, sf_dir):
-    return spread(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    return documents(spark, sf_dir).select("doc_id", "text")
 
 
 N_DOCS = "(SELECT count(*) FROM documents)"
@@ -387,8 +388,7 @@ def class_weights(spark, sf_dir):
     return weights.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in weights.dtypes])
 
 
-# Six clauses keep the SQL of the classifiers readable; every document is used.
-NB_CLAUSES = ["Uncapped Liability", "Change Of Control", "Non-Compete", "Indemnification", "Insurance", "License Grant"]
+NB_CLAUSES = CLAUSE_NAMES
 NB_SPEC = V.TermSpec(hi=2, max_features=50_000, sublinear=False)
 
 NB_BASE = f"""{SCORES_SQL},
@@ -494,7 +494,7 @@ def chi2_selected_terms(spark, sf_dir):
 
 # A linear model of fixed form: the weight of a term is its idf, signed by clause and spelling.
 LINEAR_WEIGHT = "idf * (CASE WHEN contains(term, {part}) THEN 1.0 ELSE -0.05 END)"
-LINEAR_PARTS = {"Uncapped Liability": "liab", "Insurance": "insur", "Non-Compete": "compete"}
+LINEAR_PARTS = {clause: max(clause.lower().replace("-", " ").split(), key=len)[:5] for clause in CLAUSE_NAMES}
 
 
 @register(

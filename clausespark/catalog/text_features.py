@@ -9,7 +9,6 @@ from clausespark.catalog.inputs import CONTRACTS_SQL, contracts, documents, quot
 from clausespark.fixed import patterns as P
 from clausespark.fixed import prompts
 from clausespark.functions import text as X
-from clausespark.session import spread
 
 # In SQL, letters beyond ASCII become "_" first: its regular expressions know ASCII word edges only.
 ASCII_SQL = "regexp_replace(text, '[\\x{C0}-\\x{24F}]', '_', 'g')"
@@ -72,7 +71,7 @@ def text_basic_features(spark, sf_dir):
 )
 def text_length_and_words(spark, sf_dir):
     text = F.col("text")
-    docs = spread(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return docs.select("doc_id", F.length(text).cast("long").alias("text_length"), X.word_count(text).alias("word_count"))
 
 
@@ -220,11 +219,11 @@ FROM (SELECT *, {WORDS_SQL} AS w FROM {source})"""
 
 @register(
     "text_truncate_words",
-    f"SELECT conv_id, turn, short AS excerpt FROM ({_truncated_sql(40, prompts.SHORT_SUFFIX, 'conversations')})",
+    f"SELECT conv_id, turn, short AS excerpt FROM ({_truncated_sql(400, prompts.SHORT_SUFFIX, 'conversations')})",
 )
 def text_truncate_words(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return turns.select("conv_id", "turn", X.truncate_words(F.col("text"), 40).alias("excerpt"))
+    return turns.select("conv_id", "turn", X.truncate_words(F.col("text"), 400).alias("excerpt"))
 
 
 def _snippet_sql() -> str:
@@ -313,7 +312,7 @@ def text_first_term_position(spark, sf_dir):
 
 @register("text_strip_accents", "SELECT doc_id, strip_accents(text) AS folded FROM documents")
 def text_strip_accents(spark, sf_dir):
-    docs = spread(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return docs.select("doc_id", X.strip_accents(F.col("text")).alias("folded"))
 
 

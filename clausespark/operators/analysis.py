@@ -170,7 +170,7 @@ def leaderboard(rows: DataFrame, metric: str = "macro_f1", baseline: float | Col
 
     The table holds one row per system, so one task ranks it.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col(metric).desc_nulls_last(), "model")
+    order = Window.partitionBy(F.lit(0)).orderBy(F.round(F.col(metric), 9).desc_nulls_last(), "model")
     ranked = rows.withColumn("rank", F.row_number().over(order))
     return ranked.withColumn("delta", F.col(metric) - baseline)
 
@@ -178,16 +178,16 @@ def leaderboard(rows: DataFrame, metric: str = "macro_f1", baseline: float | Col
 def champions(rows: DataFrame) -> DataFrame:
     """The best system by macro-F1 and by high-risk F1, one row."""
     return rows.agg(
-        F.max_by("model", F.struct("macro_f1", "model")).alias("macro_champion"),
+        F.max_by("model", F.struct(F.round("macro_f1", 9), "model")).alias("macro_champion"),
         F.max("macro_f1").alias("macro_f1"),
-        F.max_by("model", F.struct("hr_f1", "model")).alias("hr_champion"),
+        F.max_by("model", F.struct(F.round("hr_f1", 9), "model")).alias("hr_champion"),
         F.max("hr_f1").alias("hr_f1"),
     )
 
 
 def best_of_family(rows: DataFrame) -> DataFrame:
     return rows.groupBy("family").agg(
-        F.max_by("model", F.struct("macro_f1", "model")).alias("model"), F.max("macro_f1").alias("macro_f1")
+        F.max_by("model", F.struct(F.round("macro_f1", 9), "model")).alias("model"), F.max("macro_f1").alias("macro_f1")
     )
 
 

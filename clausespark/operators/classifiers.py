@@ -260,8 +260,8 @@ def _feature_places(model: Model) -> list[int] | None:
     return stages[0].getIndices() if stages and isinstance(stages[0], VectorSlicer) else None
 
 
-def importances(models: ClauseModels, vocabulary: DataFrame, top: int = 20) -> DataFrame:
-    """(clause, term, weight): the largest positive tree importances of each clause."""
+def importances(models: ClauseModels, vocabulary: DataFrame, top: int | None = 20) -> DataFrame:
+    """(clause, term, weight): the largest positive tree importances of each clause, or all named ones."""
     return _named(models, vocabulary, lambda m: m.featureImportances, top)
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausespark.operators.vocabulary import TermSpec, bounded, by_document, count_terms
+from clausespark.operators.vocabulary import TermSpec, count_terms
 
 
 def label_table(labels: DataFrame, clauses: Sequence[str], id_col: str = "doc_id") -> DataFrame:
@@ -162,15 +162,15 @@ def score_counts(docs: DataFrame, model: LinearModel, spec: TermSpec, id_col: st
 
     The term table is broadcast (the spec caps its rows); each document is summed in its task.
     """
-    rows = count_terms(by_document(docs.select(id_col, "text"), id_col), spec, id_col)
-    return _score(docs, rows.join(bounded(model.table, spec), "term"), "tf", model, id_col)
+    rows = count_terms(docs.select(id_col, "text"), spec, id_col)
+    return _score(docs, rows.join(model.table, "term"), "tf", model, id_col)
 
 
 def score_weights(
     docs: DataFrame, weights: DataFrame, model: LinearModel, spec: TermSpec, id_col: str = "doc_id"
 ) -> DataFrame:
     """(id, clause, prob) from TF-IDF rows (id, term, weight)."""
-    return _score(docs, weights.join(bounded(model.table, spec), "term"), "weight", model, id_col)
+    return _score(docs, weights.join(model.table, "term"), "weight", model, id_col)
 
 
 def _score(docs: DataFrame, joined: DataFrame, value: str, model: LinearModel, id_col: str) -> DataFrame:

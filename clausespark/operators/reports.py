@@ -14,7 +14,6 @@ from clausespark.operators.corpus_stats import top_per_group
 from clausespark.operators.ordering import exact_percentiles
 from clausespark.operators.taxonomy import clause_order, risk_level
 
-LEVEL_ORDER = {"HIGH": 3, "MEDIUM": 2}
 
 
 def clause_results(preds: DataFrame, version: str = "production", absent: str | None = None) -> DataFrame:

@@ -6,7 +6,6 @@ splits cut the md5-permuted id order at exact counts.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,23 +59,6 @@ def nested_validation(df: DataFrame, val_share: float = 0.2, seed: int = 42, id_
     return head_split(permuted(df, seed, id_col), val_share, "validation", "train")
 
 
-def seeded_permutation_split(
-    df: DataFrame, order: str, n_rows: int, test_share: float = 0.2, seed: int = 42, limit: int = 1_000_000
-) -> DataFrame:
-    """The split of NumPy's seeded permutation over rows ordered by ``order``.
-
-    The permutation of a small corpus is drawn on the driver; larger ones use the hash split.
-    """
-    if n_rows > limit:
-        raise ValueError(f"{n_rows} rows: use hash_split or tail_split above {limit}")
-    index = np.random.RandomState(seed).permutation(n_rows)
-    n_test = int(round(n_rows * test_share))
-    rows = [(int(row) + 1, "test" if at >= n_rows - n_test else "train") for at, row in enumerate(index)]
-    placed = df.sparkSession.createDataFrame(rows, "_row long, split string")
-    ranked = global_rank(df, [], [F.col(order)], "_row")
-    return ranked.join(F.broadcast(placed), "_row").drop("_row")
-
-
 def head_of_test(df: DataFrame, order: str, n: int = 30) -> DataFrame:
     """The first ``n`` test contracts, as a comparison subset."""
     return df.where(F.col("split") == "test").orderBy(order).limit(n)

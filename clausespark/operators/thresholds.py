@@ -149,8 +149,9 @@ def adaptive(
     return named.withColumn("pred", chosen).drop("_share", "_rate")
 
 
-def scaled_prior(rates: DataFrame, scale: float) -> DataFrame:
-    return rates.select("clause", (F.col("thr") * F.lit(float(scale))).alias("thr"))
+def scaled_prior(rates: DataFrame, picked: DataFrame) -> DataFrame:
+    """Every rate times the scale in the one-row table ``picked``."""
+    return rates.join(F.broadcast(picked)).select("clause", "scale", (F.col("thr") * F.col("scale")).alias("thr"))
 
 
 def scale_sweep(scores: DataFrame, rates: DataFrame, scales: Sequence[float]) -> DataFrame:
@@ -165,8 +166,8 @@ def scale_sweep(scores: DataFrame, rates: DataFrame, scales: Sequence[float]) ->
 
 
 def pick_scale(sweep: DataFrame) -> DataFrame:
-    """The scale of the highest macro-F1, the smallest on ties: one row."""
-    return sweep.agg(F.max_by("scale", F.struct(F.col("macro_f1"), -F.col("scale"))).alias("scale"))
+    """The scale of the highest macro-F1 (to nine places, as sums have no fixed order), the smallest on ties: one row."""
+    return sweep.agg(F.max_by("scale", F.struct(F.round("macro_f1", 9), -F.col("scale"))).alias("scale"))
 
 
 def global_sweep(scores: DataFrame, grid: Sequence[float] = GLOBAL_GRID) -> DataFrame:

@@ -20,7 +20,6 @@ from clausespark.functions import terms as N
 from clausespark.functions import text as X
 from clausespark.session import cut_lineage
 
-BROADCAST_TERMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -73,17 +72,10 @@ def count_terms(
     rows = df.select(id_col, *carry, *spec.keys, F.inline(N.counted(terms)))
     if vocabulary is not None:
         known = vocabulary.select(*spec.keys, "term")
-        rows = rows.join(bounded(known, spec), [*spec.keys, "term"], "left_semi")
+        rows = rows.join(known, [*spec.keys, "term"], "left_semi")
     return rows.select(id_col, *carry, *spec.keys, "term", "tf")
 
 
-def bounded(vocabulary: DataFrame, spec: TermSpec) -> DataFrame:
-    """Broadcast a vocabulary whose size the spec caps; leave an open one to the optimiser."""
-    if spec.max_features is not None and spec.max_features <= BROADCAST_TERMS:
-        return F.broadcast(vocabulary)
-    return vocabulary
-
-
 def fit_vocabulary(counts: DataFrame, n_docs: Column, spec: TermSpec) -> DataFrame:
     """(keys, term, df, cf, idf, term_id): document-frequency limits, then the most frequent terms.
 
@@ -172,7 +164,7 @@ def _weigh(
     counts: DataFrame, vocabulary: DataFrame, spec: TermSpec, text_keys: Sequence[str], vocabulary_keys: Sequence[str]
 ) -> DataFrame:
     known = vocabulary.select(*vocabulary_keys, "term", "idf", *_ids(vocabulary))
-    joined = counts.join(bounded(known, spec), [*vocabulary_keys, "term"])
+    joined = counts.join(known, [*vocabulary_keys, "term"])
     raw = joined.withColumn("_raw", tf_weight(F.col("tf"), spec.sublinear) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*text_keys)))
     weighed = raw.withColumn("weight", F.col("_raw") / norm)

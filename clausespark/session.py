@@ -46,15 +46,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-distribute by ``key`` when the table sits in fewer files than there are cores.
-
-    A large table has far more files than cores and is scanned as it is; a table written as one
-    file would otherwise run all row-wise text work in one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if not 0 < len(df.inputFiles()) < cores:
-        return df
-    return df.repartition(cores, key)

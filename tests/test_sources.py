@@ -1,6 +1,5 @@
 import json
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,16 +83,6 @@ def test_text_files(spark, tmp_path):
     assert whole.first()["text"] == "Grüße\nzwei"
 
 
-@pytest.mark.parametrize("n", [10, 51])
-def test_seeded_permutation_split_matches_numpy(spark, n):
-    df = spark.range(n).withColumnRenamed("id", "doc_id")
-    got = {r["doc_id"] for r in splits.seeded_permutation_split(df, "doc_id", n).where("split = 'test'").collect()}
-    index = np.random.RandomState(42).permutation(n)
-    assert got == {int(i) for i in index[-int(round(n * 0.2)):]}
-    with pytest.raises(ValueError):
-        splits.seeded_permutation_split(df, "doc_id", n, limit=5)
-
-
 def test_folds_partition_the_rows(spark):
     ranked = splits.permuted(spark.range(11).withColumnRenamed("id", "doc_id"))
     sizes = {r["fold"]: r["n"] for r in splits.kfold(ranked, 3).groupBy("fold").agg(F.count("*").alias("n")).collect()}

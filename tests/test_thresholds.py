@@ -115,7 +115,7 @@ def test_scaled_prior(scores_tiny, spark):
         values = [f1(rows, scale * 0.4) for rows in by_clause(scores_tiny).values() if any(y for *_, y in rows)]
         assert sweep[scale] == pytest.approx(sum(values) / len(values))
     best = max(sweep.values())
-    assert T.pick_scale(T.scale_sweep(scores_tiny, rates, T.VALIDATION_SCALES)).first()["scale"] == min(s for s, v in sweep.items() if v == best)
+    assert T.pick_scale(T.scale_sweep(scores_tiny, rates, T.VALIDATION_SCALES)).first()["scale"] == min(s for s, v in sweep.items() if round(v, 9) == round(best, 9))
 
 
 def test_blend_bounds_and_missing_models(scores_tiny):
