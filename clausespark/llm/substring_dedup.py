@@ -32,7 +32,8 @@ from clausespark.llm.common import WordHashes, _arrow_schema, pack_runs, per_bat
 from clausespark.session import cut_lineage
 
 MINIMISER = 12
-CROWDED = 200
+#: Super-k-mers of one minimiser that are sorted in one task, some 5 MB of words.
+CROWDED = 10_000
 FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 LAST_ID = 2**63 - 1
 
