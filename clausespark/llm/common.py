@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clausespark.session import cut_lineage
 
+BATCH_ROWS = 1_000
 UPPER_TO_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -25,6 +26,7 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
 
     The function returns columns by name (lists, arrays), or None for no rows.
     """
+    small_batches(df)
     arrow = _arrow_schema(df, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,6 +40,11 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     return df.mapInArrow(run, schema)
 
 
+def small_batches(df: DataFrame) -> None:
+    """Let the session send long texts to Python by ``BATCH_ROWS``, so that a batch stays a few MB."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def to_batch(columns: dict, arrow: pa.Schema) -> pa.RecordBatch:
     arrays = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for f in arrow for x in [columns[f.name]]]
     return pa.RecordBatch.from_arrays(arrays, schema=arrow)
@@ -53,7 +60,7 @@ def _arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a number of short words."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausespark.llm.common import per_batch
+from clausespark.llm.common import per_batch, small_batches
 from clausespark.llm.language_id import letters
 
 BUCKETS = 1 << 20
@@ -223,6 +223,7 @@ def accepted(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float
     weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     place = docs.columns.index(text)
+    small_batches(docs)
 
     def run(batches):
         w = shared.value
