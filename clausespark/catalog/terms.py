@@ -21,6 +21,7 @@ from clausespark.catalog.text_features import WORDS_SQL
 from clausespark.functions import text as X
 from clausespark.operators import blocks, linear, rules, splits
 from clausespark.operators import vocabulary as V
+from clausespark.plans import production
 from clausespark.session import cut_lineage
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
@@ -389,7 +390,7 @@ def class_weights(spark, sf_dir):
 
 
 NB_CLAUSES = CLAUSE_NAMES
-NB_SPEC = V.TermSpec(hi=2, max_features=50_000, sublinear=False)
+NB_SPEC = production.COUNTS
 
 NB_BASE = f"""{SCORES_SQL},
 labels AS (SELECT doc_id, clause, y FROM scores WHERE clause IN ({', '.join(quoted(c) for c in NB_CLAUSES)}) AND split = 'train'),
@@ -425,13 +426,12 @@ def _nb_inputs(spark, sf_dir):
     return docs.drop("split"), labels, sums
 
 
-@register(
-    "naive_bayes_multinomial",
-    f"""WITH {NB_BASE},
-coef AS (SELECT clause, term, ln((p + 0.5) / (sum(p) OVER c + 0.5 * count(*) OVER c))
+NB_COEF = """coef AS (SELECT clause, term, ln((p + 0.5) / (sum(p) OVER c + 0.5 * count(*) OVER c))
     - ln((total - p + 0.5) / (sum(total - p) OVER c + 0.5 * count(*) OVER c)) AS w, ln(n1 / n0) AS bias
-  FROM sums WINDOW c AS (PARTITION BY clause)){NB_SCORE}""",
-)
+  FROM sums WINDOW c AS (PARTITION BY clause))"""
+
+
+@register("naive_bayes_multinomial", f"WITH {NB_BASE},\n{NB_COEF}{NB_SCORE}")
 def naive_bayes_multinomial(spark, sf_dir):
     docs, labels, sums = _nb_inputs(spark, sf_dir)
     model = linear.multinomial_nb(sums, labels, NB_CLAUSES)

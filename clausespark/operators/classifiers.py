@@ -14,7 +14,9 @@ from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
+    LinearSVCModel,
     LogisticRegression,
+    LogisticRegressionModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorSlicer
@@ -208,6 +210,17 @@ class CalibratedModel:
             *[f"_m{i}" for i in range(len(self.pairs))]
         )
 
+    def save(self, path: str) -> None:
+        for i, (svm, sigmoid) in enumerate(self.pairs):
+            svm.write().overwrite().save(f"{path}/svm{i}")
+            sigmoid.write().overwrite().save(f"{path}/sigmoid{i}")
+
+    @classmethod
+    def load(cls, path: str, folds: int = 3) -> CalibratedModel:
+        return cls(
+            [(LinearSVCModel.load(f"{path}/svm{i}"), LogisticRegressionModel.load(f"{path}/sigmoid{i}")) for i in range(folds)]
+        )
+
 
 def fit_calibrated_svm(
     table: DataFrame, labels: DataFrame, clauses: Sequence[str], fold: Column, folds: int = 3,

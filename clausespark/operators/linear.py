@@ -157,36 +157,45 @@ def complement_nb(sums: DataFrame, labels: DataFrame, clauses: Sequence[str], al
     return LinearModel(logs.select(*columns), one_class, list(clauses))
 
 
-def score_counts(docs: DataFrame, model: LinearModel, spec: TermSpec, id_col: str = "doc_id") -> DataFrame:
-    """(id, clause, prob) for every document and clause from its raw term counts.
+def score_counts(
+    docs: DataFrame, model: LinearModel, spec: TermSpec, id_col: str = "doc_id", carry: Sequence[str] = ()
+) -> DataFrame:
+    """(id, carried columns, clause, prob) for every document and clause from its raw term counts.
 
-    The term table is broadcast (the spec caps its rows); each document is summed in its task.
+    The texts are read once: a document without terms keeps a row of nulls, and each task sums its
+    documents to one row of margins before the shuffle. Rows that repeat an id are one document.
     """
-    rows = count_terms(docs.select(id_col, "text"), spec, id_col)
-    return _score(docs, rows.join(model.table, "term"), "tf", model, id_col)
+    rows = count_terms(docs.select(id_col, *carry, "text"), spec, id_col, carry=carry, outer=True)
+    margins = _margins(rows.join(model.table, "term", "left"), "tf", model, id_col, carry)
+    return _probabilities(margins, model, id_col, carry)
 
 
 def score_weights(
     docs: DataFrame, weights: DataFrame, model: LinearModel, spec: TermSpec, id_col: str = "doc_id"
 ) -> DataFrame:
     """(id, clause, prob) from TF-IDF rows (id, term, weight)."""
-    return _score(docs, weights.join(model.table, "term"), "weight", model, id_col)
+    margins = _margins(weights.join(model.table, "term"), "weight", model, id_col)
+    return _probabilities(docs.select(id_col).join(margins, id_col, "left"), model, id_col)
 
 
-def _score(docs: DataFrame, joined: DataFrame, value: str, model: LinearModel, id_col: str) -> DataFrame:
-    k = len(model.clauses)
-    margins = joined.groupBy(id_col).agg(*[F.sum(F.col(value) * F.col(f"w{i}")).alias(f"m{i}") for i in range(k)])
-    every = docs.select(id_col).join(margins, id_col, "left")
-    return spread_clauses(
-        every, model.clauses, lambda i: F.coalesce(F.col(f"m{i}"), F.lit(0.0)) + F.lit(model.biases[i]), id_col
-    )
+def _margins(joined: DataFrame, value: str, model: LinearModel, id_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    """One row of sums per document; carried columns don't join the key, so documents stay where they are."""
+    sums = [F.sum(F.col(value) * F.col(f"w{i}")).alias(f"m{i}") for i in range(len(model.clauses))]
+    return joined.groupBy(id_col).agg(*[F.max(c).alias(c) for c in carry], *sums)
+
 
+def _probabilities(margins: DataFrame, model: LinearModel, id_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    margin = lambda i: F.coalesce(F.col(f"m{i}"), F.lit(0.0)) + F.lit(model.biases[i])
+    return spread_clauses(margins, model.clauses, margin, id_col, carry)
 
-def spread_clauses(df: DataFrame, clauses: Sequence[str], margin: Callable[[int], Column], id_col: str = "doc_id") -> DataFrame:
+
+def spread_clauses(
+    df: DataFrame, clauses: Sequence[str], margin: Callable[[int], Column], id_col: str = "doc_id", carry: Sequence[str] = ()
+) -> DataFrame:
     rows = [
         F.struct(F.lit(c).alias("clause"), sigmoid(margin(i)).alias("prob")) for i, c in enumerate(clauses)
     ]
-    return df.select(id_col, F.inline(F.array(*rows)))
+    return df.select(id_col, *carry, F.inline(F.array(*rows)))
 
 
 def sigmoid(margin: Column) -> Column:

@@ -16,7 +16,9 @@ from clausespark.operators.taxonomy import clause_order, risk_level
 
 
 
-def clause_results(preds: DataFrame, version: str = "production", absent: str | None = None) -> DataFrame:
+def clause_results(
+    preds: DataFrame, version: str = "production", absent: str | None = None, carry: Sequence[str] = ()
+) -> DataFrame:
     """Rounded probability and threshold, detection and risk level per document and clause.
 
     Detection was decided on unrounded values. With ``absent`` a clause not detected gets that
@@ -33,6 +35,7 @@ def clause_results(preds: DataFrame, version: str = "production", absent: str |
         (F.col("pred") == 1).alias("detected"),
         F.round("thr", 4).alias("threshold"),
         level.alias("risk_level"),
+        *carry,
     )
 
 
@@ -42,9 +45,13 @@ def _band(detected_level: Column) -> Column:
     return F.when(at == 3, "HIGH").when(at == 2, "MEDIUM").otherwise("LOW")
 
 
-def records(preds: DataFrame, docs: DataFrame, version: str = "production") -> DataFrame:
-    """One nested record per document; at most one entry per clause is collected."""
-    results = clause_results(preds, version)
+def records(preds: DataFrame, docs: DataFrame | None = None, version: str = "production") -> DataFrame:
+    """One nested record per document; at most one entry per clause is collected.
+
+    Without ``docs`` the predictions carry a ``word_count``, and no text is read again.
+    """
+    carried = ["word_count"] if docs is None else []
+    results = clause_results(preds, version, carry=carried)
     level = F.when(F.col("detected"), F.when(F.col("risk_level") == "HIGH", 3).when(F.col("risk_level") == "MEDIUM", 2))
     entry = F.struct("ord", "clause", F.struct("probability", "detected", "threshold", "risk_level").alias("v"))
     high = F.when(F.col("detected") & (F.col("risk_level") == "HIGH"), F.struct("ord", "clause"))
@@ -53,6 +60,7 @@ def records(preds: DataFrame, docs: DataFrame, version: str = "production") -> D
         F.sum(F.col("detected").cast("int")).alias("detected_count"),
         F.sort_array(F.collect_list(high)).alias("_high"),
         _band(level).alias("overall_risk"),
+        *[F.max(c).alias(c) for c in carried],
     )
     named = grouped.select(
         "doc_id",
@@ -60,7 +68,10 @@ def records(preds: DataFrame, docs: DataFrame, version: str = "production") -> D
         "detected_count",
         F.transform("_high", lambda e: e["clause"]).alias("high_risk_detected"),
         "overall_risk",
+        *carried,
     )
+    if docs is None:
+        return named
     return named.join(docs.select("doc_id", X.word_count(F.col("text")).alias("word_count")), "doc_id")
 
 

@@ -56,10 +56,12 @@ def count_terms(
     text: str = "text",
     vocabulary: DataFrame | None = None,
     carry: Sequence[str] = (),
+    outer: bool = False,
 ) -> DataFrame:
     """(id, carried columns, keys, term, tf); with a vocabulary its terms only.
 
-    Each row of ``df`` is one text; no rows are moved.
+    Each row of ``df`` is one text; no rows are moved. With ``outer`` a text without terms gives one
+    row of nulls, so that later sums by document know of it.
     """
     source = X.strip_accents(F.col(text)) if spec.strip_accents else F.col(text)
     if spec.analyzer == "char_wb":
@@ -69,7 +71,8 @@ def count_terms(
         terms = F.flatten(spelled)
     else:
         terms = N.word_ngrams(N.word_tokens(source), spec.lo, spec.hi)
-    rows = df.select(id_col, *carry, *spec.keys, F.inline(N.counted(terms)))
+    inline = F.inline_outer if outer else F.inline
+    rows = df.select(id_col, *carry, *spec.keys, inline(N.counted(terms)))
     if vocabulary is not None:
         known = vocabulary.select(*spec.keys, "term")
         rows = rows.join(known, [*spec.keys, "term"], "left_semi")

@@ -71,6 +71,54 @@ def test_saved_bundle_scores_alike(spark, bundle, unseen, tmp_path):
     assert sorted(map(str, production.score(loaded, unseen).collect())) == want
 
 
+@pytest.fixture(scope="module")
+def linear_bundle(corpus):
+    docs, labels = corpus
+    return production.train_linear(docs, labels, CLAUSES, V.TermSpec(hi=2, max_features=200, sublinear=False))
+
+
+def test_linear_bundle_records(linear_bundle, unseen):
+    records = {r["doc_id"]: r for r in production.analyze(linear_bundle, unseen).collect()}
+    assert set(records) == {100, 101, 102, 103}
+    assert [records[d]["word_count"] for d in (102, 103)] == [0, 3]
+    assert all(set(r["clauses"]) == set(CLAUSES) for r in records.values())
+    assert "Non-Compete" in records[100]["high_risk_detected"] and records[101]["high_risk_detected"] == []
+    assert all(r["clauses"]["Insurance"]["probability"] == 0.0 for r in records.values())  # never seen in training
+    # a text without known terms has the prior: 20 of 60
+    assert records[102]["clauses"]["Non-Compete"]["probability"] == pytest.approx(1 / 3, abs=1e-4)
+
+
+def test_saved_linear_bundle_scores_arriving_documents_alike(spark, linear_bundle, unseen, tmp_path):
+    production.save(linear_bundle, str(tmp_path / "model"))
+    loaded = production.load(spark, str(tmp_path / "model"))
+    assert loaded.models.biases == linear_bundle.models.biases and loaded.spec == linear_bundle.spec
+    unseen.repartition(3).write.parquet(str(tmp_path / "in"))
+    arriving = read_arriving(spark, str(tmp_path / "in"), "doc_id long, text string", files_per_batch=1)
+    query = analyze_stream(arriving, lambda b: production.analyze(loaded, b), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    want = production.analyze(linear_bundle, unseen)
+    out = spark.read.parquet(str(tmp_path / "out")).select(*want.columns)
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+
+
+def test_linear_scoring_moves_no_text(linear_bundle, unseen):
+    plan = production.score(linear_bundle, unseen)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_saved_calibrated_models_score_alike(spark, corpus, unseen, tmp_path):
+    docs, labels = corpus
+    spec = V.TermSpec(hi=1, max_features=100)
+    vocabulary = V.fit(docs, spec)
+    table = C.training_table(V.to_vectors(V.transform(docs, vocabulary, spec), docs, 100), labels, CLAUSES)
+    models = C.fit_calibrated_svm(table, labels, CLAUSES, (F.col("doc_id") % 5 % 3).cast("int"), max_iter=3)
+    bundle = production.Bundle(spec, vocabulary, models, labels.groupBy("clause").agg(F.avg("y").alias("thr")))
+    production.save(bundle, str(tmp_path / "model"))
+    loaded = production.load(spark, str(tmp_path / "model"))
+    want = sorted(map(str, production.score(bundle, unseen).collect()))
+    assert sorted(map(str, production.score(loaded, unseen).collect())) == want
+
+
 def test_evaluation_on_training_documents(bundle, corpus):
     row = production.evaluate(bundle, *corpus).first()
     assert row["macro_f1"] == pytest.approx(1.0) and row["macro_auc"] == pytest.approx(1.0)
