@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from clausespark.catalog import register
-from clausespark.catalog.inputs import SCORES_SQL, contracts, hash_bucket_sql, quoted, score_rows
+from clausespark.catalog.inputs import CLAUSE_NAMES, SCORES_SQL, contracts, hash_bucket_sql, quoted, score_rows
 from clausespark.catalog.terms import counts_cte, grams_sql
 from clausespark.operators import blocks, linear, reports
 from clausespark.operators import classifiers as C
@@ -18,8 +18,11 @@ from clausespark.plans import experiments as X
 from clausespark.plans import production
 from clausespark.session import cut_lineage
 
+# Linear and closed-form models take every clause and the whole vocabulary; the fits of trees, SVM and LSA
+# are hundreds of jobs per clause and take these.
 CLAUSES = ["Change Of Control", "Uncapped Liability", "Insurance"]
 SMALL = V.TermSpec(hi=2, max_features=1_000)
+WHOLE = (CLAUSE_NAMES, V.BIGRAMS_20K)
 
 
 class Data:
@@ -72,7 +75,8 @@ def model_histogram_boosted_trees(spark, sf_dir):
 
 @register("model_logistic")
 def model_logistic(spark, sf_dir):
-    return _fitted(spark, sf_dir, C.logistic(), constant_labels=True)
+    data = Data(spark, sf_dir, *WHOLE).vectors()
+    return data.scored(C.fit_per_clause(data.table, data.train_labels, data.clauses, C.logistic(), constant_labels=True))
 
 
 @register("model_calibrated_svm")
@@ -112,21 +116,21 @@ def lsa_explained_variance(spark, sf_dir):
 @register("model_selected_terms_logistic")
 def model_selected_terms_logistic(spark, sf_dir):
     """Logistic regression on each clause's own chi-square terms."""
-    data = Data(spark, sf_dir).vectors()
-    labelled = linear.with_labels(data.train, data.train_labels, CLAUSES)
-    weights = V.transform(labelled, data.vocabulary, data.spec, carry=linear.mask_names(len(CLAUSES)))
-    sums = linear.term_sums(weights, len(CLAUSES), "weight")
+    data = Data(spark, sf_dir, *WHOLE).vectors()
+    labelled = linear.with_labels(data.train, data.train_labels, data.clauses)
+    weights = V.transform(labelled, data.vocabulary, data.spec, carry=linear.mask_names(len(data.clauses)))
+    sums = linear.term_sums(weights, len(data.clauses), "weight")
     shares = data.train_labels.groupBy("clause").agg(F.avg("y").alias("share"))
-    chosen = blocks.select_k(blocks.chi2(sums, shares, CLAUSES), 100).join(data.vocabulary.select("term", "term_id"), "term")
+    chosen = blocks.select_k(blocks.chi2(sums, shares, data.clauses), 100).join(data.vocabulary.select("term", "term_id"), "term")
     listed = chosen.groupBy("clause").agg(F.collect_list("term_id").alias("ids")).collect()  # clauses x k ids
     make = C.on_terms(C.logistic(1.0, small_c=0.5), {r["clause"]: r["ids"] for r in listed})
-    return data.scored(C.fit_per_clause(data.table, data.train_labels, CLAUSES, make))
+    return data.scored(C.fit_per_clause(data.table, data.train_labels, data.clauses, make))
 
 
 @register("model_hybrid_vectors")
 def model_hybrid_vectors(spark, sf_dir):
     """TF-IDF next to the mean-pooled vectors of the document's group."""
-    data = Data(spark, sf_dir).vectors()
+    data = Data(spark, sf_dir, *WHOLE).vectors()
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     pooled = blocks.pooled_array(vectors.withColumn("group_id", F.col("label")), "group_id", 64)
 
@@ -134,8 +138,8 @@ def model_hybrid_vectors(spark, sf_dir):
         dense = sparse.select("doc_id", (F.col("doc_id") % 10).cast("int").alias("group_id")).join(F.broadcast(pooled), "group_id")
         return blocks.hybrid(sparse, dense.select("doc_id", "pooled")).withColumnRenamed("hybrid", "features")
 
-    table = C.training_table(joined(data.table.select("doc_id", "features")), data.train_labels, CLAUSES)
-    models = C.fit_per_clause(table, data.train_labels, CLAUSES, C.logistic())
+    table = C.training_table(joined(data.table.select("doc_id", "features")), data.train_labels, data.clauses)
+    models = C.fit_per_clause(table, data.train_labels, data.clauses, C.logistic())
     return C.score(models, joined(data.test_vectors)).join(data.test_labels, ["doc_id", "clause"])
 
 
@@ -148,8 +152,8 @@ def model_feature_importances(spark, sf_dir):
 
 @register("model_signed_coefficients")
 def model_signed_coefficients(spark, sf_dir):
-    data = Data(spark, sf_dir).vectors()
-    models = C.fit_per_clause(data.table, data.train_labels, CLAUSES, C.logistic())
+    data = Data(spark, sf_dir, *WHOLE).vectors()
+    models = C.fit_per_clause(data.table, data.train_labels, data.clauses, C.logistic())
     return reports.top_signed(C.coefficients(models, data.vocabulary), 15)
 
 
@@ -163,7 +167,7 @@ def production_evaluation(spark, sf_dir):
 
 def _out_of_fold_sql() -> str:
     """Every fold is a copy of the training rows of the other folds; all steps run per fold."""
-    clauses = ", ".join(quoted(c) for c in CLAUSES)
+    clauses = ", ".join(quoted(c) for c in CLAUSE_NAMES)
     return f"""WITH {SCORES_SQL},
 labels AS (SELECT doc_id, clause, y FROM scores WHERE clause IN ({clauses}) AND split = 'train'),
 train AS (SELECT doc_id, text FROM contracts WHERE {hash_bucket_sql()} >= 20),
@@ -173,7 +177,7 @@ others AS (SELECT f, doc_id FROM folds, (SELECT unnest([0, 1, 2]) AS f) WHERE fo
 {counts_cte(grams_sql(1, 2, 'train'))},
 vocab AS (SELECT f, term FROM (SELECT f, term, count(*) AS df, sum(tf) AS cf FROM counts JOIN others USING (doc_id) GROUP BY 1, 2)
   JOIN (SELECT f, count(*) AS n FROM others GROUP BY f) USING (f) WHERE df >= 2 AND df <= 0.95::DOUBLE * n
-  QUALIFY row_number() OVER (PARTITION BY f ORDER BY cf DESC, term) <= {SMALL.max_features}),
+  QUALIFY row_number() OVER (PARTITION BY f ORDER BY cf DESC, term) <= {V.BIGRAMS_20K.max_features}),
 kept AS (SELECT f, doc_id, term, tf FROM counts JOIN others USING (doc_id) SEMI JOIN vocab USING (f, term)),
 cls AS (SELECT f, clause, sum(y)::DOUBLE AS n1, sum(1 - y)::DOUBLE AS n0 FROM labels JOIN others USING (doc_id) GROUP BY 1, 2),
 tot AS (SELECT f, term, sum(tf)::DOUBLE AS total FROM kept GROUP BY 1, 2),
@@ -192,15 +196,15 @@ LEFT JOIN margin USING (doc_id, clause)"""
 
 @register("experiment_out_of_fold", _out_of_fold_sql())
 def experiment_out_of_fold(spark, sf_dir):
-    data = Data(spark, sf_dir)
-    scores = X.out_of_fold(data.train, data.train_labels, X.naive_bayes(CLAUSES, SMALL), 3)
+    data = Data(spark, sf_dir, *WHOLE)
+    scores = X.out_of_fold(data.train, data.train_labels, X.naive_bayes(*WHOLE), 3)
     return scores.withColumn("prob", F.round("prob", 5))
 
 
 @register("experiment_cross_validated_thresholds")
 def experiment_cross_validated_thresholds(spark, sf_dir):
-    data = Data(spark, sf_dir)
-    return X.cross_validated(data.train, data.train_labels, data.test, data.test_labels, X.naive_bayes(CLAUSES, SMALL), 3)
+    data = Data(spark, sf_dir, *WHOLE)
+    return X.cross_validated(data.train, data.train_labels, data.test, data.test_labels, X.naive_bayes(*WHOLE), 3)
 
 
 @register("experiment_regularisation_sweep")
