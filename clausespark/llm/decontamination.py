@@ -140,9 +140,17 @@ def without_hits(docs: DataFrame, benchmark: BenchmarkWindows, text: str = "text
 
 def without_spans(docs: DataFrame, benchmark: BenchmarkWindows, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, text``: the words outside all hits, lower-cased and joined by spaces, where there are hits; other texts unchanged."""
-    if not benchmark.in_set:
-        raise ValueError("spans are cut inside the row, which needs the benchmark's windows as a set")
-    read = hashed(docs, text, F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("f", benchmark.found())
+    if not benchmark.lengths:
+        return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    read = hashed(docs, text, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if benchmark.in_set:
+        read = read.withColumn("f", benchmark.found())
+    else:  # hits by a hash of the text, which copies share
+        rows = hashed(docs, text, F.xxhash64(text).alias("_key")).select("_key", F.explode(benchmark.every()).alias("f"))
+        rows = rows.select("_key", "f.at", "f.length", "f.window").join(benchmark.table.select("window"), "window", "left_semi")
+        spans = rows.groupBy("_key").agg(F.collect_set(F.struct("at", "length")).alias("f"))
+        read = read.withColumn("_key", F.xxhash64("text")).join(spans, "_key", "left")
+        read = read.withColumn("f", F.coalesce("f", F.array().cast("array<struct<at:int,length:int>>")))
     covered = F.flatten(F.transform("f", lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1)))
     positions = F.array_except(F.sequence(F.lit(0), F.size("w") - 1), covered)
     kept = F.transform(positions, lambda i: F.get("w", i))

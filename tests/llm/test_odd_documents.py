@@ -130,10 +130,15 @@ def test_decontamination(spark, odd, no_documents):
 
 
 def test_spans_are_cut(spark):
-    docs = spark.createDataFrame([(1, "Alpha beta, gamma! delta"), (2, "Nothing Here")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, "beta gamma")], "item_id long, text string")
-    got = decontamination.without_spans(docs, decontamination.BenchmarkWindows(bench)).collect()
-    assert dict(map(tuple, got)) == {1: "alpha delta", 2: "Nothing Here"}
+    rows = [(1, "Alpha beta, gamma! delta"), (2, "Nothing Here"), (3, None), (4, ""), (5, "beta gamma beta gamma"), (1, "Alpha beta, gamma! delta")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "beta gamma"), (2, "gamma beta")], "item_id long, text string")
+    want = Counter([(1, "alpha delta"), (2, "Nothing Here"), (3, None), (4, ""), (5, ""), (1, "alpha delta")])
+    for limit in (50_000, 0):  # a set in the row, and a join
+        got = decontamination.without_spans(docs, decontamination.BenchmarkWindows(bench, set_windows=limit))
+        assert Counter(map(tuple, got.collect())) == want
+    nothing = decontamination.BenchmarkWindows(bench.limit(0))
+    assert Counter(map(tuple, decontamination.without_spans(docs, nothing).collect())) == Counter(rows)
 
 
 def test_packing(odd, no_documents):
