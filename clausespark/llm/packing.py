@@ -8,7 +8,8 @@ piece lengths (at most ``size`` numbers, whatever the number of documents): fill
 greedily with the longest lengths that fit; then take out its smallest and put in two unpacked ones
 that fit the expanded gap more tightly; use this pattern as often as the counts allow. Pieces
 of one length are interchangeable: each gets its rank among those of its length, counted by slices
-of a hash so that a frequent length is spread over many tasks, and its rank says its place.
+of a hash so that a frequent length is spread over many tasks, and its rank says its place. The
+number of slices grows with the most frequent length, so a slice stays near ``SLICE_ROWS`` pieces.
 
 Null and empty texts are one end id. Repeated rows are packed each for itself, an empty table gives
 an empty one, and only the named columns are read. Texts are taken whole, one at a time.
@@ -29,7 +30,8 @@ from clausespark.session import cut_lineage
 
 #: Runs longer than this go to the slower tokenizer, whose time stays near linear in a run.
 LONG_RUN = re.compile(r"\S{2048}|\s{2048}")
-SLICES = 256
+#: Slices of a length at least, and pieces of a slice about.
+SLICES, SLICE_ROWS = 256, 250_000
 _ENCODERS: dict = {}
 
 
@@ -150,13 +152,15 @@ def places(spark, plan: list[tuple[list[int], int]]) -> DataFrame:
 def pack(cut: DataFrame, size: int) -> DataFrame:
     """Adds ``sequence_id, offset`` to pieces (any table with doc_id, piece and length columns)."""
     spark = cut.sparkSession
-    cut = cut_lineage(cut.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)).cast("int")))
+    cut = cut_lineage(cut)
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    slices = max(SLICES, max(histogram.values(), default=0) // SLICE_ROWS)
+    cut = cut.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)).cast("int"))
     counted = cut_lineage(cut.groupBy("length", "_slice").agg(F.count("*").alias("n")))
-    histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     earlier = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = counted.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     within = Window.partitionBy("length", "_slice").orderBy("doc_id", "piece", *[c for c in ("ids_crc32",) if c in cut.columns])
-    ranked = cut.withColumn("_row", F.row_number().over(within) - 1).join(F.broadcast(before), ["length", "_slice"])
+    ranked = cut.withColumn("_row", F.row_number().over(within) - 1).join(before, ["length", "_slice"])
     ranked = ranked.withColumn("_rank", F.col("_row") + F.col("_before"))
     at = F.broadcast(places(spark, best_two_fit(histogram, size)).withColumnRenamed("length", "_length"))
     found = ranked.join(at, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("low")) & (F.col("_rank") < F.col("high")))

@@ -167,6 +167,21 @@ def test_packing(odd, no_documents):
     assert packing.pack(packing.pieces(no_documents, *BYTES, size=64, end_id=2), size=64).count() == 0
 
 
+def test_more_slices_pack_the_same_pieces(odd, monkeypatch):
+    def sequences():
+        got = packing.pack(packing.pieces(odd, *BYTES, size=64, end_id=2), size=64).collect()
+        filled = defaultdict(list)
+        for r in got:
+            filled[r["sequence_id"]].append((r["offset"], r["length"]))
+        return Counter(tuple(r)[:5] for r in got), Counter(tuple(sorted(x)) for x in filled.values())
+
+    usual = sequences()
+    monkeypatch.setattr(packing, "SLICES", 1)
+    assert sequences() == usual
+    monkeypatch.setattr(packing, "SLICE_ROWS", 1)
+    assert sequences() == usual
+
+
 def test_two_for_the_smallest():
     plan = packing.best_two_fit({6: 1, 3: 1, 2: 2}, 10)
     assert plan[0] == ([6, 2, 2], 1) and sum(t for _, t in plan) == 2
