@@ -14,12 +14,13 @@ from clausespark.operators import blocks, linear, reports
 from clausespark.operators import classifiers as C
 from clausespark.operators import vocabulary as V
 from clausespark.operators.splits import hash_bucket, hash_split
+from clausespark.operators.thresholds import class_prior
 from clausespark.plans import experiments as X
 from clausespark.plans import production
 from clausespark.session import cut_lineage
 
-# Linear and closed-form models take every clause and the whole vocabulary; the fits of trees, SVM and LSA
-# are hundreds of jobs per clause and take these.
+# Linear and closed-form models, boosted trees and SVM take every clause and the whole vocabulary; the larger
+# trees, searches and LSA are thousands of jobs per clause and take these.
 CLAUSES = ["Change Of Control", "Uncapped Liability", "Insurance"]
 SMALL = V.TermSpec(hi=2, max_features=1_000)
 WHOLE = (CLAUSE_NAMES, V.BIGRAMS_20K)
@@ -49,14 +50,22 @@ class Data:
         return scores.join(self.test_labels, ["doc_id", "clause"])
 
 
-def _fitted(spark, sf_dir, make, **options):
-    data = Data(spark, sf_dir).vectors()
-    return data.scored(C.fit_per_clause(data.table, data.train_labels, CLAUSES, make, **options))
+_TREES: dict[tuple[str, str], tuple[Data, C.ClauseModels]] = {}
+
+
+def boosted_trees(spark, sf_dir):
+    """Boosted trees of every clause on the whole vocabulary, fitted once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TREES:
+        data = Data(spark, sf_dir, *WHOLE).vectors()
+        _TREES[key] = data, C.fit_per_clause(data.table, data.train_labels, data.clauses, C.boosted_trees())
+    return _TREES[key]
 
 
 @register("model_boosted_trees")
 def model_boosted_trees(spark, sf_dir):
-    return _fitted(spark, sf_dir, C.boosted_trees())
+    data, models = boosted_trees(spark, sf_dir)
+    return data.scored(models)
 
 
 @register("model_larger_boosted_trees")
@@ -81,7 +90,7 @@ def model_logistic(spark, sf_dir):
 
 @register("model_calibrated_svm")
 def model_calibrated_svm(spark, sf_dir):
-    data = Data(spark, sf_dir, CLAUSES[:2]).vectors()
+    data = Data(spark, sf_dir, *WHOLE).vectors()
     fold = hash_bucket("doc_id", 7, 3)
     return data.scored(C.fit_calibrated_svm(data.table, data.train_labels, data.clauses, fold))
 
@@ -145,8 +154,7 @@ def model_hybrid_vectors(spark, sf_dir):
 
 @register("model_feature_importances")
 def model_feature_importances(spark, sf_dir):
-    data = Data(spark, sf_dir, CLAUSES[:2]).vectors()
-    models = C.fit_per_clause(data.table, data.train_labels, data.clauses, C.boosted_trees())
+    data, models = boosted_trees(spark, sf_dir)
     return C.importances(models, data.vocabulary, 20)
 
 
@@ -159,9 +167,9 @@ def model_signed_coefficients(spark, sf_dir):
 
 @register("production_evaluation")
 def production_evaluation(spark, sf_dir):
-    """Fit, class-prior thresholds and the evaluation record on the test documents."""
-    data = Data(spark, sf_dir, CLAUSES[:2])
-    bundle = production.train(data.train, data.train_labels, data.clauses, V.TermSpec(max_features=2_000))
+    """The fitted trees of all clauses, class-prior thresholds and the evaluation record on the test documents."""
+    data, models = boosted_trees(spark, sf_dir)
+    bundle = production.Bundle(data.spec, data.vocabulary, models, cut_lineage(class_prior(data.train_labels)))
     return production.evaluate(bundle, data.test, data.test_labels)
 
 

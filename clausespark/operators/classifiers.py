@@ -1,6 +1,6 @@
 """Fitted per-clause binary classifiers on ML vectors: one estimator per clause, one feature table.
 
-The feature table is written once and shared by all fits. A few fits run at a time from driver
+The feature table is written once and shared by all fits. Eight fits run at a time from driver
 threads; each is itself a distributed job.
 """
 
@@ -145,7 +145,7 @@ def training_table(vectors: DataFrame, labels: DataFrame, clauses: Sequence[str]
 
 def fit_per_clause(
     table: DataFrame, labels: DataFrame, clauses: Sequence[str], make: MakeEstimator,
-    min_positives: int = 2, constant_labels: bool = False, parallel: int = 4,
+    min_positives: int = 2, constant_labels: bool = False, parallel: int = 8,
 ) -> ClauseModels:
     """Fit every trainable clause.
 
@@ -224,7 +224,7 @@ class CalibratedModel:
 
 def fit_calibrated_svm(
     table: DataFrame, labels: DataFrame, clauses: Sequence[str], fold: Column, folds: int = 3,
-    c: float = 1.0, max_iter: int = 100, parallel: int = 4,
+    c: float = 1.0, max_iter: int = 100, parallel: int = 8,
 ) -> ClauseModels:
     """Balanced linear SVM per clause, calibrated on the fold left out of each of three fits.
 
