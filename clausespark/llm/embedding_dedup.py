@@ -6,11 +6,12 @@
 3. Build: in each part, nearest neighbours and a few random ones are pruned robustly (a neighbour goes
    if one already kept is clearly nearer to it), reverse edges are added, and the adjacency lists of
    a class in several clusters are united.
-4. Search: a region is a cluster and the ``probes`` nearest ones. The classes of a cluster search the
-   graph of their region from its medoids, best first; the beam doubles while all of it is in range.
-   Queries run in blocks of at most ``PART``, and each part of a region is searched by all of them.
+4. Search: a class searches the graphs of the ``probes`` clusters whose centroids are nearest to itself,
+   each from its medoids, best first; the beam doubles while all of it is in range.
+   Queries run in blocks of about ``PART``, and each part of a cluster is searched by all of them.
 5. Links found are verified in double precision. Recall is audited against brute force on a bounded
-   sample of classes; below ``RECALL`` the search is repeated with more probes and a wider beam.
+   sample of classes; below ``RECALL`` the search is repeated with more probes and a wider beam. Once a
+   quarter of the centroids would be probed, all classes are compared with all instead, which is exact.
 
 Vectors that are null, zero, or hold null or non-finite components are linked with nothing, nor are
 vectors of different lengths with each other. Rows without an id have no links and no component.
@@ -31,6 +32,7 @@ from clausespark.session import cut_lineage
 OVERLAP, PART, SAMPLE, PER_CLUSTER, MOST_CLUSTERS = 2, 20_000, 20_000, 1_000, 4_096
 DEGREE, NEAREST, RANDOM, ALPHA = 24, 48, 12, 1.2
 RECALL, AUDITED = 0.98, 200
+BUCKETS, DRAWN_BYTES = 1_000_000, 64_000_000
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -170,6 +172,10 @@ def assigned(classes: DataFrame, centres: np.ndarray, near: int) -> DataFrame:
     return classes.mapInPandas(run, "rep long, v array<double>, clusters array<int>")
 
 
+def clusters_of(count: int) -> int:
+    return max(1, min(MOST_CLUSTERS, count // PER_CLUSTER))
+
+
 def found_links(classes: DataFrame, count: int, cosine: float, probes: int, beam: int) -> DataFrame:
     """``a, b``: the pairs of classes (a < b) that the search finds."""
     spark = classes.sparkSession
@@ -178,22 +184,13 @@ def found_links(classes: DataFrame, count: int, cosine: float, probes: int, beam
     sample = stacked(draw["v"]) if len(draw) else np.zeros((0, 1))
     if not len(sample):
         return spark.createDataFrame([], "a long, b long")
-    centres = centroids(sample, max(1, min(len(sample), MOST_CLUSTERS, count // PER_CLUSTER)))
-    probes = min(probes, len(centres))
-    placed = cut_lineage(assigned(classes, centres, OVERLAP))
-    sizes = {r["c"]: r["n"] for r in placed.select(F.explode("clusters").alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()}
-    parts = {c: -(-n // PART) for c, n in sizes.items()}
-    regions = np.argsort(-(centres @ centres.T), axis=1, kind="stable")[:, :probes]
-    into: dict[int, list[int]] = {}
-    for region, clusters in enumerate(regions.tolist()):
-        for c in clusters:
-            into.setdefault(c, []).append(region)
-    per_cluster = spark.createDataFrame([(c, parts[c], into.get(c, [])) for c in parts], "c int, parts int, regions array<int>")
-    per_region = spark.createDataFrame(
-        [(r, max(parts.get(c, 1) for c in cs), parts.get(r, 1)) for r, cs in enumerate(regions.tolist())], "region int, parts int, blocks int"
-    )
-    members = placed.select("rep", "v", F.explode("clusters").alias("c")).join(F.broadcast(per_cluster), "c")
-    members = members.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    centres = centroids(sample, min(len(sample), clusters_of(count)))
+    placed = cut_lineage(assigned(classes, centres, max(OVERLAP, probes)))
+    near = placed.select("rep", "v", F.posexplode("clusters").alias("at", "c"))
+    counts = near.groupBy("c").agg(F.count_if(F.col("at") < OVERLAP).alias("n"), F.count_if(F.col("at") < probes).alias("asks")).collect()
+    sizes = [(r["c"], max(1, -(-r["n"] // PART)), max(1, -(-r["asks"] // PART))) for r in counts]
+    near = near.join(F.broadcast(spark.createDataFrame(sizes, "c int, parts int, blocks int")), "c")
+    members = near.filter(F.col("at") < OVERLAP).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         vectors, names = stacked(frame["v"]), frame["rep"].to_numpy()
@@ -204,21 +201,19 @@ def found_links(classes: DataFrame, count: int, cosine: float, probes: int, beam
     built = members.select("c", "part", "rep", "v").groupBy("c", "part").applyInPandas(build, "rep long, near array<long>, medoid boolean")
     graph = built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("medoid").alias("medoid"))
     graph = cut_lineage(graph)
-    blocks = per_region.select(F.col("region"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    nodes = members.select("rep", "v", "part", F.explode("regions").alias("region")).distinct().join(graph, "rep").join(F.broadcast(blocks), "region")
-    queries = placed.select("rep", "v", F.col("clusters")[0].alias("region")).join(F.broadcast(per_region), "region")
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), "blocks").cast("int"))
+    nodes = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(graph, "rep")
+    queries = near.filter(F.col("at") < probes).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), "blocks").cast("int"))
     queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     none = F.array().cast("array<bigint>")
     rows = union_all(
         [
-            nodes.select("region", "part", "block", "rep", "v", "near", "medoid", F.lit(False).alias("query")),
-            queries.select("region", "part", "block", "rep", "v", none.alias("near"), F.lit(False).alias("medoid"), F.lit(True).alias("query")),
+            nodes.select("c", "part", "block", "rep", "v", "near", "medoid", F.lit(False).alias("query")),
+            queries.select("c", "part", "block", "rep", "v", none.alias("near"), F.lit(False).alias("medoid"), F.lit(True).alias("query")),
         ]
     )
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
-        asks, has = frame[frame["query"]], frame[~frame["query"]].drop_duplicates("rep")
+        asks, has = frame[frame["query"]], frame[~frame["query"]]
         if not len(asks) or not len(has):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         names = has["rep"].to_numpy()
@@ -234,7 +229,7 @@ def found_links(classes: DataFrame, count: int, cosine: float, probes: int, beam
         b = names[np.concatenate([x for x, _ in found])] if len(a) else a
         return pd.DataFrame({"a": np.minimum(a, b)[a != b], "b": np.maximum(a, b)[a != b]})
 
-    return rows.groupBy("region", "part", "block").applyInPandas(search, "a long, b long").distinct()
+    return rows.groupBy("c", "part", "block").applyInPandas(search, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
@@ -246,6 +241,40 @@ def verified(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
     return both.filter(value >= cosine).select("a", "b")
 
 
+def true_links(classes: DataFrame, count: int, cosine: float) -> DataFrame:
+    """``a, b``: all pairs of classes (a < b) in range, by brute force.
+
+    Classes are drawn to the driver by ranges of a hash, about ``DRAWN_BYTES`` at once, and each draw is
+    compared with all classes where these lie, so nothing is shuffled but the pairs in range.
+    """
+    length = classes.select(F.size("v")).first()[0]
+    drawn = F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(BUCKETS))
+    size = max(1, min(PART, DRAWN_BYTES // (8 * length)))
+    low, parts = 0, []
+    while low < BUCKETS:
+        high = min(BUCKETS, low + max(1, BUCKETS * size // max(1, count)))
+        asked = classes.filter((drawn >= low) & (drawn < high)).select("rep", "v").toPandas()
+        if len(asked):
+            parts.append(cut_lineage(verified(in_range(classes, asked, cosine), classes, cosine)))
+        low = high
+    return union_all(parts).distinct()
+
+
+def in_range(classes: DataFrame, asked: pd.DataFrame, cosine: float) -> DataFrame:
+    """``a, b``: the pairs (a < b) of an asked class and any other, to be verified."""
+    names, vectors = asked["rep"].to_numpy(), stacked(asked["v"])
+
+    def run(frames):
+        for frame in frames:
+            for at in range(0, len(frame), 512):
+                own = frame.iloc[at : at + 512]
+                row, column = np.nonzero(stacked(own["v"]) @ vectors.T >= cosine - 1e-9)
+                a, b = own["rep"].to_numpy()[row], names[column]
+                yield pd.DataFrame({"a": np.minimum(a, b)[a != b], "b": np.maximum(a, b)[a != b]})
+
+    return classes.select("rep", "v").mapInPandas(run, "a long, b long").distinct()
+
+
 def audited_recall(links: DataFrame, classes: DataFrame, count: int, cosine: float) -> float:
     """The share of the links of about ``AUDITED`` classes, found by brute force, that ``links`` holds."""
     share = int(1_000_000 * min(1.0, AUDITED / max(1, count)))
@@ -277,9 +306,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_
         probes, beam = 3, 48
         while True:
             links = cut_lineage(verified(found_links(own, count, cosine, probes, beam), own, cosine))
-            if audited_recall(links, own, count, cosine) >= RECALL or probes >= 64:
+            if audited_recall(links, own, count, cosine) >= RECALL:
                 break
             probes, beam = probes * 2, beam * 2
+            if 4 * probes >= clusters_of(count):
+                links = cut_lineage(true_links(own, count, cosine))
+                break
         parts.append(links)
     links = union_all(parts)
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -121,6 +121,48 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def plain_links(rows, least=0.9):
+    v = np.array([r[1] for r in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return {(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(np.triu(v @ v.T >= least, 1)))}
+
+
+def scattered_pairs(pairs, seed, single=0):
+    """Unstructured vectors, each of the first with a partner at a cosine of 0.9 to 0.96."""
+    draw = np.random.default_rng(seed)
+    base = draw.normal(size=(pairs + single, 64))
+    twins = base[:pairs] + draw.uniform(0.3, 0.45, size=(pairs, 1)) * draw.normal(size=(pairs, 64))
+    return [(k, v.tolist()) for k, v in enumerate([*base, *twins])]
+
+
+def test_embedding_search_that_stays_below_recall_ends_exact(spark, monkeypatch):
+    tried = []
+
+    def nothing_found(classes, count, cosine, probes, beam):
+        tried.append(probes)
+        return spark.createDataFrame([], "a long, b long")
+
+    monkeypatch.setattr(embedding_dedup, "found_links", nothing_found)
+    monkeypatch.setattr(embedding_dedup, "PER_CLUSTER", 8)
+    monkeypatch.setattr(embedding_dedup, "PART", 170)
+    rows = scattered_pairs(200, 5)
+    links = Counter(x for pair in plain_links(rows) for x in pair)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(frame).collect()}
+    assert len(links) > 300 and got == {k: links[k] for k, _ in rows}
+    assert tried == sorted(tried)
+
+
+def test_embedding_search_by_a_vectors_own_centroids(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PER_CLUSTER", 10)
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 400)
+    rows = scattered_pairs(1000, 6)
+    classes = spark.createDataFrame(rows, "rep long, v array<double>")
+    want = plain_links(rows)
+    found = {tuple(r) for r in embedding_dedup.found_links(classes, len(rows), 0.9, 6, 48).collect()}
+    assert len(want & found) >= 0.97 * len(want)
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_pipeline_on_odd_documents(spark, odd, tmp_path, empty):
     docs = (odd.limit(0) if empty else odd).select("doc_id", "text", "lang", "source", "n_chars")
