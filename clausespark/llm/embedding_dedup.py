@@ -9,9 +9,11 @@
 4. Search: a class searches the graphs of the ``probes`` clusters whose centroids are nearest to itself,
    each from its medoids, best first; the beam doubles while all of it is in range.
    Queries run in blocks of about ``PART``, and each part of a cluster is searched by all of them.
-5. Links found are verified in double precision. Recall is audited against brute force on a bounded
-   sample of classes; below ``RECALL`` the search is repeated with more probes and a wider beam. Once a
-   quarter of the centroids would be probed, all classes are compared with all instead, which is exact.
+5. Links found are verified in double precision. Classes are drawn by a hash and compared with all
+   others until ``LINKED`` of them have links; recall is the mean over these. Below ``RECALL`` the search is
+   repeated with more probes and a wider beam. Once a quarter of the centroids would be probed, all
+   classes are compared with all instead, which is exact; where fewer than ``LINKED`` classes have links
+   the draws have done that already, and nothing is searched.
 
 Vectors that are null, zero, or hold null or non-finite components are linked with nothing, nor are
 vectors of different lengths with each other. Rows without an id have no links and no component.
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausespark.llm.common import connected_components, union_all
@@ -31,7 +33,7 @@ from clausespark.session import cut_lineage
 
 OVERLAP, PART, SAMPLE, PER_CLUSTER, MOST_CLUSTERS = 2, 20_000, 20_000, 1_000, 4_096
 DEGREE, NEAREST, RANDOM, ALPHA = 24, 48, 12, 1.2
-RECALL, AUDITED = 0.98, 200
+RECALL, AUDITED, LINKED = 0.98, 200, 100
 BUCKETS, DRAWN_BYTES = 1_000_000, 64_000_000
 
 
@@ -241,23 +243,35 @@ def verified(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
     return both.filter(value >= cosine).select("a", "b")
 
 
-def true_links(classes: DataFrame, count: int, cosine: float) -> DataFrame:
-    """``a, b``: all pairs of classes (a < b) in range, by brute force.
+def drawn() -> Column:
+    return F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(BUCKETS))
 
-    Classes are drawn to the driver by ranges of a hash, about ``DRAWN_BYTES`` at once, and each draw is
+
+def true_links(classes: DataFrame, count: int, cosine: float, first: int = PART, linked: int | None = None) -> tuple[DataFrame, int]:
+    """``a, b``: the links (a < b) of the classes whose hash is below the number returned, by brute force.
+
+    Classes are drawn to the driver by ranges of the hash, ``first`` and then ever more, about
+    ``DRAWN_BYTES`` at most at once, until ``linked`` of them have links or all are drawn. Each draw is
     compared with all classes where these lie, so nothing is shuffled but the pairs in range.
     """
     length = classes.select(F.size("v")).first()[0]
-    drawn = F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(BUCKETS))
-    size = max(1, min(PART, DRAWN_BYTES // (8 * length)))
-    low, parts = 0, []
-    while low < BUCKETS:
-        high = min(BUCKETS, low + max(1, BUCKETS * size // max(1, count)))
-        asked = classes.filter((drawn >= low) & (drawn < high)).select("rep", "v").toPandas()
+    most = max(1, min(PART, DRAWN_BYTES // (8 * length)))
+    low, size, seen, parts = 0, first, 0, []
+    while low < BUCKETS and (linked is None or seen < linked):
+        high = min(BUCKETS, low + max(1, -(-BUCKETS * min(size, most) // max(1, count))))
+        mine = (drawn() >= low) & (drawn() < high)
+        asked = classes.filter(mine).select("rep", "v").toPandas()
         if len(asked):
             parts.append(cut_lineage(verified(in_range(classes, asked, cosine), classes, cosine)))
-        low = high
-    return union_all(parts).distinct()
+            if linked is not None:
+                seen += ends(parts[-1]).filter(mine).select("rep").distinct().count()
+        low, size = high, size * 4
+    links = union_all(parts) if parts else classes.sparkSession.createDataFrame([], "a long, b long")
+    return cut_lineage(links.distinct()), low
+
+
+def ends(links: DataFrame) -> DataFrame:
+    return links.withColumn("rep", F.explode(F.array("a", "b")))
 
 
 def in_range(classes: DataFrame, asked: pd.DataFrame, cosine: float) -> DataFrame:
@@ -275,24 +289,10 @@ def in_range(classes: DataFrame, asked: pd.DataFrame, cosine: float) -> DataFram
     return classes.select("rep", "v").mapInPandas(run, "a long, b long").distinct()
 
 
-def audited_recall(links: DataFrame, classes: DataFrame, count: int, cosine: float) -> float:
-    """The share of the links of about ``AUDITED`` classes, found by brute force, that ``links`` holds."""
-    share = int(1_000_000 * min(1.0, AUDITED / max(1, count)))
-    asked = classes.filter(F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(1_000_000)) <= share).select("rep", "v").toPandas()
-    if not len(asked):
-        return 1.0
-    names, vectors = asked["rep"].to_numpy(), stacked(asked["v"])
-
-    def run(frames):
-        for frame in frames:
-            if len(frame):
-                row, column = np.nonzero(stacked(frame["v"]) @ vectors.T >= cosine)
-                a, b = frame["rep"].to_numpy()[row], names[column]
-                yield pd.DataFrame({"a": np.minimum(a, b)[a != b], "b": np.maximum(a, b)[a != b]})
-
-    true = cut_lineage(classes.select("rep", "v").mapInPandas(run, "a long, b long").distinct())
-    total = true.count()
-    return true.join(links, ["a", "b"], "left_semi").count() / total if total else 1.0
+def audited_recall(links: DataFrame, truth: DataFrame, below: int) -> float:
+    """The mean share of its true links that ``links`` holds, over the drawn classes that have links."""
+    hit = truth.join(links.withColumn("hit", F.lit(1.0)), ["a", "b"], "left").withColumn("hit", F.coalesce("hit", F.lit(0.0)))
+    return ends(hit).filter(drawn() < below).groupBy("rep").agg(F.avg("hit").alias("hit")).agg(F.avg("hit")).first()[0]
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -303,15 +303,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_
     parts = [vectors.sparkSession.createDataFrame([], "a long, b long")]
     for length, count in sorted(per_length.items()):
         own = classes.filter(F.size("v") == length)
-        probes, beam = 3, 48
-        while True:
+        truth, below = true_links(own, count, cosine, AUDITED, LINKED)
+        links, probes, beam = truth, 3, 48
+        while below < BUCKETS:
             links = cut_lineage(verified(found_links(own, count, cosine, probes, beam), own, cosine))
-            if audited_recall(links, own, count, cosine) >= RECALL:
+            if audited_recall(links, truth, below) >= RECALL:
                 break
             probes, beam = probes * 2, beam * 2
             if 4 * probes >= clusters_of(count):
-                links = cut_lineage(true_links(own, count, cosine))
-                break
+                links, below = true_links(own, count, cosine)
         parts.append(links)
     links = union_all(parts)
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -163,6 +163,25 @@ def test_embedding_search_by_a_vectors_own_centroids(spark, monkeypatch):
     assert len(want & found) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("case", ["few links", "hot group"])
+def test_embedding_audit(spark, monkeypatch, case):
+    """Lost links are seen where most vectors have none, and beside a group with most of all links."""
+    draw = np.random.default_rng(8)
+    rows = scattered_pairs(4, 7, single=600) if case == "few links" else scattered_pairs(150, 7)
+    if case == "hot group":
+        centre = draw.normal(size=64)
+        rows += [(1000 + k, (centre + 0.05 * draw.normal(size=64)).tolist()) for k in range(300)]
+    want = plain_links(rows)
+    kept = [x for x in want if min(x) >= 1000]
+    monkeypatch.setattr(embedding_dedup, "found_links", lambda *_: spark.createDataFrame(kept, "a long, b long"))
+    monkeypatch.setattr(embedding_dedup, "AUDITED", 20)
+    if case == "hot group":
+        assert len(kept) > 0.99 * len(want)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    links = Counter(x for pair in want for x in pair)
+    assert {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(frame).collect()} == {k: links[k] for k, _ in rows}
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_pipeline_on_odd_documents(spark, odd, tmp_path, empty):
     docs = (odd.limit(0) if empty else odd).select("doc_id", "text", "lang", "source", "n_chars")
