@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from clausespark.plans import experiments as X
 from clausespark.plans import production
 from clausespark.session import cut_lineage
 
-# Linear and closed-form models, boosted trees and SVM take every clause and the whole vocabulary; the larger
+# Linear and closed-form models, boosted trees, SVM, sweeps and ablation take every clause and the whole vocabulary; the larger
 # trees, searches and LSA are thousands of jobs per clause and take these.
 CLAUSES = ["Change Of Control", "Uncapped Liability", "Insurance"]
 SMALL = V.TermSpec(hi=2, max_features=1_000)
@@ -217,21 +215,21 @@ def experiment_cross_validated_thresholds(spark, sf_dir):
 
 @register("experiment_regularisation_sweep")
 def experiment_regularisation_sweep(spark, sf_dir):
-    data = Data(spark, sf_dir, CLAUSES[:2]).vectors()
+    data = Data(spark, sf_dir, *WHOLE).vectors()
     return X.regularisation_sweep(data.table, data.test_vectors, data.train_labels, data.test_labels, data.clauses)
 
 
 @register("experiment_vocabulary_sizes")
 def experiment_vocabulary_sizes(spark, sf_dir):
-    data = Data(spark, sf_dir, CLAUSES[:2])
-    arms = X.size_arms(data.clauses, [500, 1_000, 2_000], C.logistic())
+    data = Data(spark, sf_dir, *WHOLE)
+    arms = X.size_arms(data.clauses, [5_000, 10_000, 20_000, 50_000, 100_000], C.logistic())
     return X.run_arms(arms, data.train, data.train_labels, data.test, data.test_labels).drop("seconds")
 
 
 @register("experiment_ablation")
 def experiment_ablation(spark, sf_dir):
-    data = Data(spark, sf_dir, CLAUSES[:1])
-    arms = X.ablation_arms(data.clauses, V.TermSpec(hi=2, max_features=300), trees=10, fewer=75, characters=replace(V.CHARACTERS_20K, max_features=300))
+    data = Data(spark, sf_dir, *WHOLE)
+    arms = X.ablation_arms(data.clauses)
     rows = X.run_arms(arms, data.train, data.train_labels, data.test, data.test_labels)
     return X.with_deltas(rows, "champion").drop("seconds")
 
