@@ -56,3 +56,21 @@ def test_ablation(monkeypatch):
     seen = taken(monkeypatch, models.experiment_ablation, "ablation_arms")
     assert seen["clauses"] == CLAUSE_NAMES and seen["spec"] == V.BIGRAMS_20K and seen["characters"] == V.CHARACTERS_20K
     assert (seen["trees"], seen["fewer"]) == (50, 5_000)
+
+
+def test_tree_search(monkeypatch, spark):
+    """Every trial on the high-risk clauses, and a refit of the best on all; small trees stand in for the drawn ones."""
+    fitted = []
+    draw, fit, trees = X.draw_trials, models.C.fit_per_clause, models.C.boosted_trees
+
+    def counted(table, labels, clauses, make, *args):
+        fitted.append((len(clauses), table.select("features").first()[0].size))
+        return fit(table, labels, clauses, make, *args) if len(fitted) in (1, 21) else models.C.ClauseModels(list(clauses), {}, {c: 0.0 for c in clauses})
+
+    monkeypatch.setattr(X.C, "fit_per_clause", counted)
+    monkeypatch.setattr(models.C, "boosted_trees", lambda **settings: trees(**{**settings, "trees": 1, "depth": 2}))
+    rows = models.experiment_tree_search(spark, "/root/testdata/sf0.001").collect()
+    high = sum(c in models.RISK_VERSIONS["production"]["HIGH"] for c in CLAUSE_NAMES)
+    assert fitted == [(high, 5_000)] * 20 + [(len(CLAUSE_NAMES), 20_000)]
+    assert [r["fit"] for r in rows] == ["proxy"] * 20 + ["whole"] and [r["trial"] for r in rows[:20]] == list(range(20))
+    assert rows[20]["trees"] == draw()[rows[20]["trial"]]["trees"]
