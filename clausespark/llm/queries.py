@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clausespark.llm import (
+    conversation_trie,
     decontamination,
     embedding_dedup,
+    importance_resampling,
     language_id,
     line_dedup,
     minhash_dedup,
@@ -23,6 +25,7 @@ from clausespark.llm import (
 )
 from clausespark.llm.common import crc_mod
 from clausespark.llm.oracles import LINE_DEDUP, EMBEDDING_DEDUP, DECONTAMINATION, MINHASH, SUBSTRING
+from clausespark.llm.oracles_sampling import RESAMPLING, TRIE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {
@@ -31,6 +34,8 @@ SQL: dict[str, str] = {
     "op5_minhash_near_dedup": MINHASH,
     "op8_line_dedup": LINE_DEDUP,
     "op9_embedding_near_dedup": EMBEDDING_DEDUP,
+    "op11_conversation_trie": TRIE,
+    "op12_importance_resampling": RESAMPLING,
 }
 
 
@@ -118,6 +123,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return importance_resampling.resample(docs, target, percent=10, least_words=20, buckets=10_000, seed=2024).drop("n_words")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
