@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clausespark.llm import (
+    class_lm,
     conversation_trie,
     decontamination,
     embedding_dedup,
@@ -134,6 +135,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resample(docs, target, percent=10, least_words=20, buckets=10_000, seed=2024).drop("n_words")
 
 
+@query
+def op13_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = crc_mod("doc_id", 5)
+    return class_lm.score(table(spark, sf_dir, "documents"), own != 1, own == 1)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
