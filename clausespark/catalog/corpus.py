@@ -20,7 +20,7 @@ from clausespark.fixed.taxonomy import CLAUSES, METADATA_CLAUSES, RISK_VERSIONS
 from clausespark.functions import text as X
 from clausespark.operators import corpus_stats as S
 from clausespark.operators import splits, taxonomy
-from clausespark.operators.features import feature_groups, standardize
+from clausespark.operators.features import MOMENT_STEPS, feature_groups, standardize
 
 
 def in_list(names) -> str:
@@ -305,18 +305,27 @@ def feature_group_coverage(spark, sf_dir):
 SCALED = P.ENHANCED_ORDER
 
 
+def _z_sql(f: str) -> str:
+    variance = f"(q_{f} / n - (s_{f} / n) * (s_{f} / n))"
+    scale = f"CASE WHEN {variance} > 0 THEN sqrt({variance}) / {MOMENT_STEPS} ELSE 1.0::DOUBLE END"
+    return f"floor((({f})::DOUBLE - (s_{f} / n) / {MOMENT_STEPS}) / {scale} * 100000 + 0.5) / 100000 AS {f}"
+
+
 @register(
     "features_standardized",
-    f"""WITH feats AS ({_enhanced_sql()}), train AS (SELECT * FROM feats WHERE {hash_bucket_sql()} >= 20),
-st AS (SELECT {', '.join(f'avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}' for f in SCALED)} FROM train)
-SELECT doc_id, {', '.join(f"round(({f} - m_{f}) / CASE WHEN s_{f} > 0 THEN s_{f} ELSE 1 END, 5) AS {f}" for f in SCALED)}
+    f"""WITH feats AS ({_enhanced_sql(rounded=False)}),
+grid AS (SELECT {', '.join(f'floor(({f})::DOUBLE * {MOMENT_STEPS} + 0.5)::HUGEINT AS {f}' for f in SCALED)}
+  FROM feats WHERE {hash_bucket_sql()} >= 20),
+st AS (SELECT count(*)::DOUBLE AS n, {', '.join(f'sum({f})::DOUBLE AS s_{f}, sum({f} * {f})::DOUBLE AS q_{f}' for f in SCALED)} FROM grid)
+SELECT doc_id, {', '.join(_z_sql(f) for f in SCALED)}
 FROM feats, st""",
 )
 def features_standardized(spark, sf_dir):
     wanted = [c for c, name in zip(X.enhanced_features(F.col("text")), P.ENHANCED_ORDER) if name in SCALED]
     docs = splits.hash_split(contracts(spark, sf_dir)).select("doc_id", "split", *wanted)
     scaled = standardize(docs, SCALED, F.col("split") == "train")
-    return scaled.select("doc_id", *[F.round(f, 5).alias(f) for f in SCALED])
+    # rounded by floor, which both engines do alike next to a tie
+    return scaled.select("doc_id", *[(F.floor(F.col(f) * 100_000 + 0.5) / 100_000).alias(f) for f in SCALED])
 
 
 # ---- taxonomy, splits, clause filters --------------------------------------------------

@@ -136,7 +136,7 @@ def text_unfair_terms_features(spark, sf_dir):
     return docs.withColumn("avg_word_len", F.round("avg_word_len", 6))
 
 
-def _enhanced_sql() -> str:
+def _enhanced_sql(rounded: bool = True) -> str:
     build = {
         "count": lambda v: _count(v),
         "icount": lambda v: _count(v, ignore_case=True),
@@ -149,14 +149,14 @@ def _enhanced_sql() -> str:
     made["char_count"] = "length(text)"
     made["word_count"] = "n_words"
     made["sentence_count"] = f"({_count(P.SENTENCE_SPLIT)} + 1)"
-    made["avg_sent_len"] = f"round(n_words / greatest({made['sentence_count']}, 1), 6)"
-    made["obligation_ratio"] = (
-        f"round((({made['shall_count']}) + ({made['must_count']})) / greatest(({made['may_count']}) + 1, 1), 6)"
-    )
-    made["one_sided_ratio"] = (
-        f"round(({made['company_shall']}) / "
-        f"greatest(({made['party_shall']}) + ({made['mutual_obligations']}) + 1, 1), 6)"
-    )
+    ratios = {
+        "avg_sent_len": f"n_words / greatest({made['sentence_count']}, 1)",
+        "obligation_ratio": f"(({made['shall_count']}) + ({made['must_count']})) / greatest(({made['may_count']}) + 1, 1)",
+        "one_sided_ratio": (
+            f"({made['company_shall']}) / greatest(({made['party_shall']}) + ({made['mutual_obligations']}) + 1, 1)"
+        ),
+    }
+    made |= {name: f"round({ratio}, 6)" if rounded else ratio for name, ratio in ratios.items()}
     return _select({name: made[name] for name in P.ENHANCED_ORDER})
 
 

@@ -16,13 +16,28 @@ def feature_groups(spark: SparkSession, features: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, grp string")
 
 
+#: Steps of the grid on which moments are summed.
+MOMENT_STEPS = 1_000_000
+
+
 def standardize(df: DataFrame, features: Sequence[str], fit_on: Column) -> DataFrame:
-    """z-scores with mean and population deviation of the rows where ``fit_on`` holds.
+    """z-scores with mean and population deviation of the rows where ``fit_on`` holds; a constant feature keeps scale 1.
 
-    A constant feature keeps scale 1. The statistics are two numbers per feature.
+    Moments are sums of whole numbers, values and squares on a grid of ``1 / MOMENT_STEPS``, so they don't depend on the order
+    of rows or on partitions. They are one row, read by a scalar subquery.
     """
-    stats = df.where(fit_on).agg(
-        *[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]
-    ).first()
-    scaled = [((F.col(f) - stats[f"m_{f}"]) / (stats[f"s_{f}"] or 1.0)).alias(f) for f in features]
-    return df.select(*[c for c in df.columns if c not in features], *scaled)
+    on_grid = {f: F.floor(F.col(f).cast("double") * MOMENT_STEPS + 0.5).cast("decimal(18,0)") for f in features}
+    sums = [F.count("*").cast("double").alias("n")]
+    sums += [F.sum(x).cast("double").alias(f"s_{f}") for f, x in on_grid.items()]
+    sums += [F.sum((x * x).cast("decimal(38,0)")).cast("double").alias(f"q_{f}") for f, x in on_grid.items()]
+    moments = df.where(fit_on).agg(*sums).select(F.struct("*").alias("m")).scalar()
+    own = [c for c in df.columns if c not in features]
+    joined = df.select(F.struct(*own).alias("own"), *[F.col(f).cast("double").alias(f) for f in features], moments.alias("m"))
+    m = F.col("m")
+    scaled = []
+    for f in features:
+        mean = m[f"s_{f}"] / m["n"]
+        variance = m[f"q_{f}"] / m["n"] - mean * mean
+        scale = F.when(variance > 0, F.sqrt(variance) / MOMENT_STEPS).otherwise(1.0)
+        scaled.append(((F.col(f) - mean / MOMENT_STEPS) / scale).alias(f))
+    return joined.select(*[F.col("own")[c].alias(c) for c in own], *scaled)

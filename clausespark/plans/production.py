@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausespark.functions import text as X
+from clausespark.operators import boosting as B
 from clausespark.operators import classifiers as C
 from clausespark.operators import linear, reports
 from clausespark.operators import metrics as M
@@ -29,7 +30,7 @@ MODEL_CLASSES = {
         GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel, PipelineModel, C.CalibratedModel
     )
 }
-LINEAR = "linear"
+LINEAR, BOOSTED = "linear", "boosted"
 #: Raw counts of one and two words, the terms of naive Bayes.
 COUNTS = V.TermSpec(hi=2, max_features=50_000, sublinear=False)
 
@@ -40,7 +41,7 @@ class Bundle:
 
     spec: V.TermSpec
     vocabulary: DataFrame
-    models: C.ClauseModels | linear.LinearModel
+    models: C.ClauseModels | linear.LinearModel | B.BoostedModel
     thresholds: DataFrame
 
 
@@ -58,6 +59,20 @@ def train(
     return Bundle(spec, vocabulary, models, cut_lineage(T.class_prior(labels)))
 
 
+def train_boosted(
+    docs: DataFrame, labels: DataFrame, clauses: Sequence[str], spec: V.TermSpec = V.PRODUCTION,
+    settings: B.Boosting = B.Boosting(), bins: int = 32,
+) -> Bundle:
+    """The same with boosted trees of all clauses, grown together on histograms."""
+    vocabulary = V.fit(docs, spec)
+    packed = B.packed(V.transform(docs, vocabulary, spec), docs)
+    rows = cut_lineage(packed.join(linear.label_table(labels, clauses), "doc_id"))
+    edges = B.Bins.of(B.bin_edges(B.unpacked(rows), bins, settings.min_rows))
+    counts = linear.positives_and_negatives(labels, clauses)
+    model = B.fit(B.binned_blocks(rows, edges, len(clauses)), edges, counts, clauses, settings)
+    return Bundle(spec, vocabulary, model, cut_lineage(T.class_prior(labels)))
+
+
 def train_linear(
     docs: DataFrame, labels: DataFrame, clauses: Sequence[str], spec: V.TermSpec = COUNTS,
     fit: Callable[[DataFrame, DataFrame, Sequence[str]], linear.LinearModel] = linear.multinomial_nb,
@@ -77,6 +92,8 @@ def score(bundle: Bundle, docs: DataFrame) -> DataFrame:
         counted = docs.withColumn("word_count", X.word_count(F.col("text")))
         return T.apply_thresholds(linear.score_counts(counted, bundle.models, bundle.spec, carry=["word_count"]), bundle.thresholds)
     weights = V.transform(docs, bundle.vocabulary, bundle.spec)
+    if isinstance(bundle.models, B.BoostedModel):
+        return T.apply_thresholds(B.score(bundle.models, B.packed(weights, docs)), bundle.thresholds)
     scores = C.score(bundle.models, V.to_vectors(weights, docs, bundle.spec.max_features))
     return T.apply_thresholds(scores, bundle.thresholds)
 
@@ -100,6 +117,9 @@ def save(bundle: Bundle, path: str) -> None:
     if isinstance(bundle.models, linear.LinearModel):
         bundle.models.table.write.mode("overwrite").parquet(f"{path}/{LINEAR}")
         rows = [(i, *x) for i, x in enumerate(zip(bundle.models.clauses, [LINEAR] * len(bundle.models.clauses), bundle.models.biases))]
+    elif isinstance(bundle.models, B.BoostedModel):
+        B.save(bundle.models, f"{path}/{BOOSTED}")
+        rows = [(i, clause, BOOSTED, None) for i, clause in enumerate(bundle.models.clauses)]
     else:
         for i, clause in enumerate(bundle.models.clauses):
             model = bundle.models.models.get(clause)
@@ -120,6 +140,8 @@ def load(spark: SparkSession, path: str) -> Bundle:
     clauses = [r["clause"] for r in rows]
     if rows[0]["kind"] == LINEAR:
         models = linear.LinearModel(spark.read.parquet(f"{path}/{LINEAR}"), [r["constant"] for r in rows], clauses)
+    elif rows[0]["kind"] == BOOSTED:
+        models = B.load(spark, f"{path}/{BOOSTED}")
     else:
         models = C.ClauseModels(clauses)
         for r in rows:

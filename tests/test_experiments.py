@@ -1,76 +1,26 @@
-"""Experiments take every clause and the survey's sizes; the fits themselves are left out."""
+"""Experiments take every clause and the survey's sizes, and run to their end on the smallest tables."""
 
 from __future__ import annotations
 
-import inspect
-from types import SimpleNamespace
-
-import pytest
-
 from clausespark.catalog import models
 from clausespark.catalog.inputs import CLAUSE_NAMES
 from clausespark.operators import vocabulary as V
 from clausespark.plans import experiments as X
 
-
-class Taken(Exception):
-    pass
-
-
-def taken(monkeypatch, query, name):
-    """Settings of the data, and the arguments by name of the first call of ``name``."""
-    seen = {}
-
-    def data(spark, sf_dir, clauses, spec):
-        seen.update(clauses=clauses, spec=spec)
-        own = SimpleNamespace(clauses=clauses, spec=spec, train=None, test=None, train_labels=None, test_labels=None, table=None, test_vectors=None)
-        own.vectors = lambda: own
-        return own
-
-    signature = inspect.signature(getattr(X, name))
-
-    def stop(*args, **options):
-        call = signature.bind(*args, **options)
-        call.apply_defaults()
-        seen.update(call.arguments)
-        raise Taken
-
-    monkeypatch.setattr(models, "Data", data)
-    monkeypatch.setattr(X, name, stop)
-    with pytest.raises(Taken):
-        query(None, None)
-    return seen
-
-
-def test_sweep_takes_all_clauses_and_terms(monkeypatch):
-    seen = taken(monkeypatch, models.experiment_regularisation_sweep, "regularisation_sweep")
-    assert seen["clauses"] == CLAUSE_NAMES and seen["spec"] == V.BIGRAMS_20K and seen["values"] == X.C_VALUES
-
-
-def test_vocabulary_sizes(monkeypatch):
-    seen = taken(monkeypatch, models.experiment_vocabulary_sizes, "size_arms")
-    assert seen["clauses"] == CLAUSE_NAMES and seen["sizes"] == [5_000, 10_000, 20_000, 50_000, 100_000]
-
-
-def test_ablation(monkeypatch):
-    seen = taken(monkeypatch, models.experiment_ablation, "ablation_arms")
-    assert seen["clauses"] == CLAUSE_NAMES and seen["spec"] == V.BIGRAMS_20K and seen["characters"] == V.CHARACTERS_20K
-    assert (seen["trees"], seen["fewer"]) == (50, 5_000)
+SF_DIR = "/root/testdata/sf0.001"
 
 
-def test_tree_search(monkeypatch, spark):
-    """Every trial on the high-risk clauses, and a refit of the best on all; small trees stand in for the drawn ones."""
-    fitted = []
-    draw, fit, trees = X.draw_trials, models.C.fit_per_clause, models.C.boosted_trees
+def test_settings():
+    assert models.WHOLE == (CLAUSE_NAMES, V.BIGRAMS_20K)
+    assert models.SIZES == [5_000, 10_000, 20_000, 50_000, 100_000]
+    arms = X.ablation_arms()
+    assert arms["champion"][0] == V.BIGRAMS_20K and arms["char_only"][0] == V.CHARACTERS_20K
+    assert arms["fewer_features"][0].max_features == 5_000 and {s.trees for _, s in arms.values()} == {50}
 
-    def counted(table, labels, clauses, make, *args):
-        fitted.append((len(clauses), table.select("features").first()[0].size))
-        return fit(table, labels, clauses, make, *args) if len(fitted) in (1, 21) else models.C.ClauseModels(list(clauses), {}, {c: 0.0 for c in clauses})
 
-    monkeypatch.setattr(X.C, "fit_per_clause", counted)
-    monkeypatch.setattr(models.C, "boosted_trees", lambda **settings: trees(**{**settings, "trees": 1, "depth": 2}))
-    rows = models.experiment_tree_search(spark, "/root/testdata/sf0.001").collect()
-    high = sum(c in models.RISK_VERSIONS["production"]["HIGH"] for c in CLAUSE_NAMES)
-    assert fitted == [(high, 5_000)] * 20 + [(len(CLAUSE_NAMES), 20_000)]
-    assert [r["fit"] for r in rows] == ["proxy"] * 20 + ["whole"] and [r["trial"] for r in rows[:20]] == list(range(20))
-    assert rows[20]["trees"] == draw()[rows[20]["trial"]]["trees"]
+def test_sweep_runs_whole(spark):
+    rows = {r["arm"]: r for r in models.experiment_regularisation_sweep(spark, SF_DIR).collect()}
+    assert set(rows) == {f"C={c}" for c in X.C_VALUES}
+    assert sum(r["best_macro_f1"] for r in rows.values()) == 1 and sum(r["best_hr_f1"] for r in rows.values()) == 1
+    best = max(r["macro_f1"] for r in rows.values())
+    assert next(r for r in rows.values() if r["best_macro_f1"])["macro_f1"] == best
