@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clausespark.catalog import register
 from clausespark.catalog.inputs import CLAUSE_NAMES, CONTRACTS_SQL, SCORES_SQL, contracts, hash_bucket_sql, quoted, score_rows, with_scores
-from clausespark.catalog.terms import counts_cte, grams_sql, vocab_cte
+from clausespark.catalog.terms import counts_cte, grams_sql, stacked_blocks, vocab_cte
 from clausespark.fixed.taxonomy import RISK_VERSIONS
 from clausespark.operators import blocks, linear, reports
 from clausespark.operators import boosting as B
@@ -410,22 +410,20 @@ def experiment_tree_search(spark, sf_dir):
 
 @register("model_block_importances")
 def model_block_importances(spark, sf_dir):
-    """Tree importances of the dense syntax features inside a stacked feature vector."""
-    from pyspark.ml.feature import VectorAssembler
-
-    from clausespark.fixed.patterns import SYNTAX_PATTERNS
-    from clausespark.functions import text as TX
-
-    data = Data(spark, sf_dir, CLAUSES[:1], V.TermSpec(hi=1, max_features=200)).vectors()
-    names = list(SYNTAX_PATTERNS)
-    dense = data.train.select("doc_id", *TX.syntax_rates(F.col("text")))
-    joined = data.table.select("doc_id", "features").join(dense, "doc_id")
-    stacked = VectorAssembler(inputCols=["features", *names], outputCol="all").transform(joined)
-    table = C.training_table(stacked.select("doc_id", F.col("all").alias("features")), data.train_labels, data.clauses)
-    models = C.fit_per_clause(table, data.train_labels, data.clauses, C.boosted_trees())
-    offset = data.spec.max_features
-    block = spark.createDataFrame([(offset + i, n) for i, n in enumerate(names)], "term_id int, term string")
-    top = C.importances(models, block, top=None)
-    return reports.top_importances(top, 5).select("clause", F.col("term").alias("feature"), "weight")
-
-
+    """What each block of the stacked features brings to the boosted trees of every clause: its share of the gain, its splits,
+    and its best feature."""
+    data = Data(spark, sf_dir, CLAUSE_NAMES, V.BIGRAMS_20K)
+    stacked, space = stacked_blocks(data.train)
+    stacked = cut_lineage(stacked)
+    dense = stacked.where("block = 'dense'")
+    scales = cut_lineage(dense.groupBy("block", "feature").agg((1 / F.max("weight")).alias("scale")))  # bins are parts of 0 to 1
+    placed = blocks.positioned(stacked, space, scales)
+    weights = placed.select("doc_id", F.col("position").alias("term_id"), "weight")
+    data.rows = cut_lineage(B.packed(weights, data.train).join(linear.label_table(data.train_labels, data.clauses), "doc_id"))
+    data.counts = linear.positives_and_negatives(data.train_labels, data.clauses)
+    names = space.select(F.col("position").alias("term_id"), F.concat_ws("|", "block", "feature").alias("term"))
+    found = B.importances(data.boosted(B.Boosting()), names)
+    block = F.split("term", "[|]", 2)
+    found = found.select("clause", block[0].alias("block"), block[1].alias("feature"), "weight", "splits")
+    best = F.min_by("feature", F.struct(-F.col("weight"), "feature")).alias("best_feature")
+    return found.groupBy("clause", "block").agg(F.sum("weight").alias("weight"), F.sum("splits").alias("splits"), best)

@@ -17,7 +17,8 @@ from clausespark.catalog.inputs import (
     with_contracts,
     with_scores,
 )
-from clausespark.catalog.text_features import WORDS_SQL
+from clausespark.catalog.text_features import STRUCTURE_NAMES, WORDS_SQL, _syntax_sql, structure_sql
+from clausespark.fixed.patterns import SYNTAX_PATTERNS
 from clausespark.functions import text as X
 from clausespark.operators import blocks, linear, rules, splits
 from clausespark.operators import vocabulary as V
@@ -284,30 +285,62 @@ def tfidf_window_max_pool(spark, sf_dir):
     return pooled.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-@register(
-    "feature_blocks_stacked",
-    f"""WITH {CONTRACTS_SQL}, {counts_cte(grams_sql(1, 1, 'contracts'))},
-{vocab_cte(1000, '(SELECT count(*) FROM contracts)')}, {weights_cte()},
-dense AS (UNPIVOT (SELECT doc_id, (length(text) / 1000.0)::DOUBLE AS doc_len_k_chars,
-    len(regexp_extract_all(text, '%')) / (length(text) / 1000.0::DOUBLE) AS percent_k
-  FROM contracts) ON doc_len_k_chars, percent_k INTO NAME feature VALUE weight)
-SELECT doc_id, 'terms' AS block, term AS feature, round(weight, 6) AS weight FROM weights
-UNION ALL SELECT doc_id, 'syntax', feature, round(weight, 6) FROM dense WHERE weight <> 0""",
-)
-def feature_blocks_stacked(spark, sf_dir):
-    docs = contracts(spark, sf_dir).select("doc_id", "text")
-    spec = V.TermSpec(hi=1, max_features=1_000)
-    weights = V.transform(docs, V.fit(docs, spec), spec).select("doc_id", F.col("term").alias("feature"), "weight")
-    per_k = X.thousands_of_chars(F.col("text"))
-    dense = docs.select(
-        "doc_id",
-        per_k.alias("doc_len_k_chars"),
-        (X.count_literal(F.col("text"), "%") / per_k).alias("percent_k"),
-    )
+DENSE_NAMES = [*SYNTAX_PATTERNS, *STRUCTURE_NAMES]
+
+
+def _stacked_sql() -> str:
+    """All blocks and their numbering: 20,000 terms, 5,000 terms of each quarter, 42 dense features."""
+    quarters = SECTIONED.replace("FROM documents", "FROM contracts").replace("sectioned AS", "quarters AS")
+    dense = f"SELECT * FROM ({_syntax_sql()}) JOIN ({structure_sql()}) USING (doc_id)"
+    return f"""WITH {CONTRACTS_SQL}, {counts_cte(grams_sql(1, 2, 'contracts'))},
+{vocab_cte(20000, '(SELECT count(*) FROM contracts)')}, {weights_cte()}, {quarters},
+qcounts AS (SELECT doc_id, section, term, count(*) AS tf FROM ({grams_sql(1, 2, 'quarters', 'doc_id, section')}) GROUP BY ALL),
+qvocab AS (SELECT *, ln((1.0::DOUBLE + {N_DOCS}) / (1.0::DOUBLE + df)) + 1.0 AS idf FROM (
+    SELECT section, term, count(*) AS df, sum(tf) AS cf FROM qcounts GROUP BY 1, 2
+    HAVING count(*) >= 2 AND count(*) <= 0.95::DOUBLE * {N_DOCS})
+  QUALIFY row_number() OVER (PARTITION BY section ORDER BY cf DESC, term) <= 5000),
+qraw AS (SELECT doc_id, section, term, (1.0::DOUBLE + ln(tf)) * idf AS raw FROM qcounts JOIN qvocab USING (section, term)),
+dense AS (UNPIVOT ({dense}) ON {', '.join(DENSE_NAMES)} INTO NAME feature VALUE weight),
+stacked AS (SELECT doc_id, 0 AS b, 'terms' AS block, term AS feature, weight FROM weights
+  UNION ALL SELECT doc_id, 1, 'positional', section || ':' || term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id, section)) FROM qraw
+  UNION ALL SELECT doc_id, 2, 'dense', feature, weight FROM dense WHERE weight <> 0),
+names AS (SELECT 0 AS b, term AS feature FROM vocab UNION ALL SELECT 1, section || ':' || term FROM qvocab
+  UNION ALL SELECT 2, unnest([{', '.join(map(quoted, DENSE_NAMES))}])),
+space AS (SELECT b, feature, (row_number() OVER (ORDER BY b, feature) - 1)::INT AS position FROM names)
+SELECT doc_id, block, feature, position, round(weight, 6) AS weight FROM stacked JOIN space USING (b, feature)"""
+
+
+def stacked_blocks(docs, fit_on=None):
+    """Rows (doc_id, block, feature, weight) of all three blocks of the documents, and the numbering of their features.
+
+    Vocabularies are those of ``fit_on``, of the documents themselves without it.
+    """
+    fitted = docs if fit_on is None else fit_on
+    vocabulary, quarters = V.fit(fitted, V.BIGRAMS_20K), V.fit(blocks.section_rows(fitted), V.SECTIONS_5K)
+    named = F.concat_ws(":", F.col("section"), F.col("term"))
+    rates = [F.round(c, 6) for c in [*X.syntax_rates(F.col("text")), *X.structure_rates(F.col("text"))]]
     stacked = blocks.stack(
-        {"terms": weights, "syntax": blocks.dense_block(dense, ["doc_len_k_chars", "percent_k"])}
+        {
+            "terms": V.transform(docs, vocabulary, V.BIGRAMS_20K).select("doc_id", F.col("term").alias("feature"), "weight"),
+            "positional": V.transform(blocks.section_rows(docs), quarters, V.SECTIONS_5K).select("doc_id", named.alias("feature"), "weight"),
+            "dense": blocks.dense_block(docs.select("doc_id", *[c.alias(n) for c, n in zip(rates, DENSE_NAMES)]), DENSE_NAMES),
+        }
+    )
+    space = blocks.feature_space(
+        {
+            "terms": vocabulary.select(F.col("term").alias("feature")),
+            "positional": quarters.select(named.alias("feature")),
+            "dense": docs.sparkSession.createDataFrame([(n,) for n in DENSE_NAMES], "feature string"),
+        }
     )
-    return stacked.withColumn("weight", F.round("weight", 6))
+    return stacked, space
+
+
+@register("feature_blocks_stacked", _stacked_sql())
+def feature_blocks_stacked(spark, sf_dir):
+    """The 20,000-term block, the positional block of four quarters and 42 dense features in one feature space."""
+    stacked, space = stacked_blocks(contracts(spark, sf_dir).select("doc_id", "text"))
+    return blocks.positioned(stacked, space).select("doc_id", "block", "feature", "position", F.round("weight", 6).alias("weight"))
 
 
 @register(

@@ -95,19 +95,22 @@ def text_syntax_rates(spark, sf_dir):
     return rates.select("doc_id", *[F.round(name, 6).alias(name) for name in P.SYNTAX_PATTERNS])
 
 
-@register(
-    "text_structure_rates",
-    _select(
-        {
-            "doc_len_k_chars": "round(greatest(1, length(text)) / 1000.0::DOUBLE, 6)",
-            "sentence_count_per_k": _per_k(_count(P.SENTENCE_END)),
-            "section_count": f"({_count(P.SECTION_HEADER)})::DOUBLE",
-            "numbered_clause_count_k": _per_k(_count(P.ENUMERATOR, ignore_case=True)),
-            "dollar_mentions_k": _per_k(_count(P.DOLLAR_AMOUNT, ignore_case=True)),
-            "percent_mentions_k": _per_k(_count(P.PERCENT, ignore_case=True)),
-        }
-    ),
-)
+STRUCTURE_SQL = {
+    "doc_len_k_chars": "round(greatest(1, length(text)) / 1000.0::DOUBLE, 6)",
+    "sentence_count_per_k": _per_k(_count(P.SENTENCE_END)),
+    "section_count": f"({_count(P.SECTION_HEADER)})::DOUBLE",
+    "numbered_clause_count_k": _per_k(_count(P.ENUMERATOR, ignore_case=True)),
+    "dollar_mentions_k": _per_k(_count(P.DOLLAR_AMOUNT, ignore_case=True)),
+    "percent_mentions_k": _per_k(_count(P.PERCENT, ignore_case=True)),
+}
+STRUCTURE_NAMES = list(STRUCTURE_SQL)
+
+
+def structure_sql() -> str:
+    return _select(STRUCTURE_SQL)
+
+
+@register("text_structure_rates", structure_sql())
 def text_structure_rates(spark, sf_dir):
     rates = contracts(spark, sf_dir).select("doc_id", *X.structure_rates(F.col("text")))
     return rates.select("doc_id", *[F.round(c, 6).alias(c) for c in rates.columns[1:]])

@@ -8,11 +8,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausespark.functions import text as X
 from clausespark.operators.corpus_stats import top_per_group
+from clausespark.session import cut_lineage
 
 
 def section_rows(docs: DataFrame, n: int = 4, id_col: str = "doc_id") -> DataFrame:
@@ -33,6 +34,29 @@ def stack(blocks: dict[str, DataFrame], id_col: str = "doc_id") -> DataFrame:
     return whole
 
 
+def feature_space(features: dict[str, DataFrame]) -> DataFrame:
+    """(block, feature, position): one numbering of the features of all blocks, block after block, each by the alphabet.
+
+    ``features`` are tables of distinct names (``feature``), so the dictionary is as large as the vocabularies.
+    """
+    whole, start = None, 0
+    for name, table in features.items():
+        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("feature")) - 1 + start  # a vocabulary's rows
+        part = table.select(F.lit(name).alias("block"), "feature", place.cast("int").alias("position"))
+        whole = part if whole is None else whole.unionByName(part)
+        start += table.count()
+    return cut_lineage(whole)
+
+
+def positioned(stacked: DataFrame, space: DataFrame, scales: DataFrame | None = None) -> DataFrame:
+    """Stacked rows with their ``position``; ``scales`` (block, feature, scale) multiplies the weights of the features it names."""
+    found = stacked.join(space, ["block", "feature"])
+    if scales is not None:
+        found = found.join(scales, ["block", "feature"], "left")
+        found = found.withColumn("weight", F.col("weight") * F.coalesce("scale", F.lit(1.0))).drop("scale")
+    return found
+
+
 def dense_block(df: DataFrame, features: Sequence[str], id_col: str = "doc_id") -> DataFrame:
     """Non-zero values of feature columns as (id, feature, weight)."""
     long = df.select(id_col, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
