@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from clausespark.catalog import register
 from clausespark.catalog.corpus import in_list, risk_sql
 from clausespark.catalog.inputs import clause_scores, contracts, hash_bucket_sql, quoted, with_scores
+from clausespark.catalog.terms import COMPLEMENT_COEF, NB_BASE, NB_CLAUSES, NB_COEF, NB_SCORE, NB_SPEC, _nb_inputs
 from clausespark.catalog.text_features import WORDS_SQL
 from clausespark.fixed.taxonomy import RISK_VERSIONS
 from clausespark.functions import text as X
 from clausespark.operators import analysis as A
 from clausespark.operators import ensembles as E
+from clausespark.operators import linear
 from clausespark.operators import metrics as M
 from clausespark.operators import thresholds as T
 from clausespark.operators.splits import hash_bucket, hash_split
@@ -510,20 +512,29 @@ def error_first_missed(spark, sf_dir):
 
 # ---- a second system, blending and routing ---------------------------------------------
 
-BUCKET_SQL = "(('0x' || substr(md5(doc_id || ':' || clause || ':7'), 1, 8))::UBIGINT % 100)"
-SECOND = f"second AS (SELECT doc_id, clause, y, split, round((prob + {BUCKET_SQL}::BIGINT / 200.0::DOUBLE) / 1.5, 4) AS prob FROM scores)"
+# The first system is the keyword score; the second multinomial naive Bayes on counts of one and two words, the third
+# complement naive Bayes. Both are fitted on the training documents and score all of them.
 
 
-def second_scores(scores):
-    """A noisier second system: the first one's score mixed with a hash of document and clause."""
-    keyed = scores.withColumn("_key", F.concat_ws(":", F.col("doc_id").cast("string"), "clause"))
-    noise = hash_bucket("_key", 7) / F.lit(200.0)
-    return keyed.withColumn("prob", F.round((F.col("prob") + noise) / F.lit(1.5), 4)).drop("_key")
+def _fitted_sql(name: str, coefficients: str) -> str:
+    """Scores of a fitted system for the documents and clauses of ``scores``."""
+    return f"""{name} AS (SELECT doc_id, clause, y, split, nb.prob FROM scores
+  JOIN (WITH {NB_BASE}, {coefficients}{NB_SCORE}) nb USING (doc_id, clause))"""
+
+
+SECOND = _fitted_sql("second", NB_COEF)
+THIRD = _fitted_sql("third", COMPLEMENT_COEF)
+
+
+def fitted_scores(spark, sf_dir, scores, fit):
+    docs, labels, sums = _nb_inputs(spark, sf_dir)
+    found = linear.score_counts(docs, fit(sums, labels, NB_CLAUSES), NB_SPEC).withColumn("prob", F.round("prob", 5))
+    return cut_lineage(scores.drop("prob").join(found, ["doc_id", "clause"]).select("doc_id", "clause", "prob", "y", "split"))
 
 
 def two_systems(spark, sf_dir):
     first = stored_scores(spark, sf_dir)
-    return first, second_scores(first)
+    return first, fitted_scores(spark, sf_dir, first, linear.multinomial_nb)
 
 
 def f1_sql(name: str, source: str, thr: str) -> str:
@@ -662,17 +673,21 @@ def compare_win_tally(spark, sf_dir):
     return A.win_tally(compared(spark, sf_dir))
 
 
-CONFIGS = f"{TWO_F1}, {f1_sql('fc', 'second', '0.4')}, {f1_sql('fd', 'scores', '0.35')}"
+CONFIGS = f"""{TWO_F1}, {THIRD}, {f1_sql('fc', 'third', '0.5')},
+blend AS (SELECT doc_id, clause, a.y, a.split, round(0.5 * a.prob + 0.5 * b.prob, 8) AS prob FROM scores a JOIN second b USING (doc_id, clause)),
+{f1_sql('fd', 'blend', '0.5')}"""
 
 
 def configs(spark, sf_dir):
     first, second = two_systems(spark, sf_dir)
-    others = {"positional": f1_at(second, 0.3), "syntactic": f1_at(second, 0.4), "hybrid": f1_at(first, 0.35)}
+    third = fitted_scores(spark, sf_dir, first, linear.complement_nb)
+    blend = E.blend(first, second, 0.5).withColumn("prob", F.round("prob", 8)).join(first.select("doc_id", "clause", "y", "split"), ["doc_id", "clause"])
+    others = {"multinomial": f1_at(second, 0.3), "complement": f1_at(third, 0.5), "blended": f1_at(blend, 0.5)}
     return A.compare_configs(f1_at(first, 0.25), others)
 
 
-CONFIG_ROWS = f"""{CONFIGS}, table4 AS (SELECT clause, fa.f1 AS base, fb.f1 AS positional, fc.f1 AS syntactic, fd.f1 AS hybrid,
-  fb.f1 - fa.f1 AS d_positional, fc.f1 - fa.f1 AS d_syntactic, fd.f1 - fa.f1 AS d_hybrid
+CONFIG_ROWS = f"""{CONFIGS}, table4 AS (SELECT clause, fa.f1 AS base, fb.f1 AS multinomial, fc.f1 AS complement, fd.f1 AS blended,
+  fb.f1 - fa.f1 AS d_multinomial, fc.f1 - fa.f1 AS d_complement, fd.f1 - fa.f1 AS d_blended
   FROM fa JOIN fb USING (clause) JOIN fc USING (clause) JOIN fd USING (clause))"""
 
 
@@ -687,23 +702,23 @@ def compare_feature_configs(spark, sf_dir):
 @register(
     "compare_largest_swings",
     with_scores(
-        f""", {CONFIG_ROWS} SELECT clause, round(d_syntactic, 6) AS d_syntactic FROM table4
-ORDER BY abs(table4.d_syntactic) DESC, clause LIMIT 5"""
+        f""", {CONFIG_ROWS} SELECT clause, round(d_complement, 6) AS d_complement FROM table4
+ORDER BY abs(table4.d_complement) DESC, clause LIMIT 5"""
     ),
 )
 def compare_largest_swings(spark, sf_dir):
-    return rounded(A.largest_swings(configs(spark, sf_dir), "d_syntactic").select("clause", "d_syntactic"))
+    return rounded(A.largest_swings(configs(spark, sf_dir), "d_complement").select("clause", "d_complement"))
 
 
 @register(
     "compare_three_winner",
     with_scores(
-        f""", {CONFIG_ROWS} SELECT clause, CASE WHEN base >= greatest("positional", syntactic) THEN 'trees'
-  WHEN syntactic >= "positional" THEN 'few' ELSE 'zero' END AS winner FROM table4"""
+        f""", {CONFIG_ROWS} SELECT clause, CASE WHEN base >= greatest("multinomial", complement) THEN 'trees'
+  WHEN complement >= "multinomial" THEN 'few' ELSE 'zero' END AS winner FROM table4"""
     ),
 )
 def compare_three_winner(spark, sf_dir):
-    winner = A.winner_of_three(F.col("base"), F.col("positional"), F.col("syntactic"), ["trees", "zero", "few"])
+    winner = A.winner_of_three(F.col("base"), F.col("multinomial"), F.col("complement"), ["trees", "zero", "few"])
     return configs(spark, sf_dir).select("clause", winner.alias("winner"))
 
 

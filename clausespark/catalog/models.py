@@ -22,17 +22,14 @@ from clausespark.plans import experiments as X
 from clausespark.plans import production
 from clausespark.session import cut_lineage
 
-# Linear and closed-form models, boosted trees, SVM, sweeps and ablation take every clause and the whole vocabulary; the larger
-# trees, searches and LSA are thousands of jobs per clause and take these.
-CLAUSES = ["Change Of Control", "Uncapped Liability", "Insurance"]
-SMALL = V.TermSpec(hi=2, max_features=1_000)
+# Every model takes every clause and the whole vocabulary.
 WHOLE = (CLAUSE_NAMES, V.BIGRAMS_20K)
 
 
 class Data:
-    """Training and test documents with their labels, and TF-IDF vectors of the small vocabulary."""
+    """Training and test documents with their labels, and their TF-IDF weights."""
 
-    def __init__(self, spark, sf_dir, clauses=CLAUSES, spec=SMALL):
+    def __init__(self, spark, sf_dir, clauses, spec):
         docs = cut_lineage(hash_split(contracts(spark, sf_dir).select("doc_id", "text")))
         labels = cut_lineage(score_rows(docs.drop("split")).where(F.col("clause").isin(clauses)).select("doc_id", "clause", "y", "split"))
         self.clauses, self.spec = clauses, spec
@@ -195,29 +192,28 @@ def calibrated_svm(data):
     return scores
 
 
-LSA_DIMS = 32
+LSA_DIMS = 256
 
 
 def lsa_tables(data):
-    basis = blocks.lsa_basis(data.table, LSA_DIMS)
-    return (
-        cut_lineage(blocks.lsa_project(data.weights, data.train, basis)),
-        cut_lineage(blocks.lsa_project(V.transform(data.test, data.vocabulary, data.spec), data.test, basis)),
-    )
+    """Training and test documents on the first singular vectors of the training documents, each written once."""
+    basis, _ = S.singular_vectors(S.row_blocks(data.rows, len(data.clauses)), data.spec.max_features, LSA_DIMS)
+    return tuple(cut_lineage(S.projected(rows, basis)) for rows in (data.rows, data.test_rows))
 
 
 @register("model_lsa_random_forest")
 def model_lsa_random_forest(spark, sf_dir):
-    data = Data(spark, sf_dir).vectors()
+    """Forests of 200 trees of every clause on 256 dimensions."""
+    data = Data(spark, sf_dir, *WHOLE).packed()
     train, test = (t.select("doc_id", array_to_vector("lsa").alias("features")) for t in lsa_tables(data))
-    table = C.training_table(train, data.train_labels, CLAUSES)
-    models = C.fit_per_clause(table, data.train_labels, CLAUSES, C.random_forest())
+    table = C.training_table(train, data.train_labels, data.clauses)
+    models = C.fit_per_clause(table, data.train_labels, data.clauses, C.random_forest())
     return C.score(models, test).join(data.test_labels, ["doc_id", "clause"])
 
 
 @register("lsa_explained_variance")
 def lsa_explained_variance(spark, sf_dir):
-    data = Data(spark, sf_dir).vectors()
+    data = Data(spark, sf_dir, *WHOLE).packed()
     train, _ = lsa_tables(data)
     return blocks.explained_variance(train, data.weights, LSA_DIMS)
 

@@ -471,15 +471,14 @@ def naive_bayes_multinomial(spark, sf_dir):
     return linear.score_counts(docs, model, NB_SPEC).withColumn("prob", F.round("prob", 5))
 
 
-@register(
-    "naive_bayes_complement",
-    f"""WITH {NB_BASE},
-wsum AS (SELECT clause, term, p * (n0 / (n0 + n1)) + 0.5 AS cp, (total - p) * (n1 / (n0 + n1)) + 0.5 AS cn FROM sums),
+COMPLEMENT_COEF = """wsum AS (SELECT clause, term, p * (n0 / (n0 + n1)) + 0.5 AS cp, (total - p) * (n1 / (n0 + n1)) + 0.5 AS cn FROM sums),
 logs AS (SELECT clause, term, ln(cp / sum(cp) OVER c) AS lp, ln(cn / sum(cn) OVER c) AS ln_ FROM wsum
   WINDOW c AS (PARTITION BY clause)),
 coef AS (SELECT clause, term, ln_ / sum(ln_) OVER c - lp / sum(lp) OVER c AS w, 0.0 AS bias FROM logs
-  WINDOW c AS (PARTITION BY clause)){NB_SCORE}""",
-)
+  WINDOW c AS (PARTITION BY clause))"""
+
+
+@register("naive_bayes_complement", f"WITH {NB_BASE},\n{COMPLEMENT_COEF}{NB_SCORE}")
 def naive_bayes_complement(spark, sf_dir):
     docs, labels, sums = _nb_inputs(spark, sf_dir)
     model = linear.complement_nb(sums, labels, NB_CLAUSES)

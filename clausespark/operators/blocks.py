@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,28 +109,6 @@ def select_k(scored: DataFrame, k: int) -> DataFrame:
     return top_per_group(scored, ["clause"], [F.col("chi2").desc(), F.col("term")], k)
 
 
-def lsa_basis(vectors: DataFrame, k: int, features: str = "features") -> DataFrame:
-    """(term_id, v0..vk-1): the ``k`` first right singular vectors of the document-term matrix.
-
-    The truncated SVD runs on the cluster and returns terms x k values, bounded by the vocabulary.
-    """
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select(features), features))
-    basis = matrix.computeSVD(k).V.toArray()
-    rows = [(i, *map(float, row)) for i, row in enumerate(basis)]
-    columns = ", ".join(f"v{i} double" for i in range(basis.shape[1]))
-    return vectors.sparkSession.createDataFrame(rows, f"term_id int, {columns}")
-
-
-def lsa_project(weights: DataFrame, docs: DataFrame, basis: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, lsa): every document on the basis; one without known terms is all zeros."""
-    dims = [c for c in basis.columns if c != "term_id"]
-    sums = weights.join(F.broadcast(basis), "term_id").groupBy(id_col).agg(
-        *[F.sum(F.col("weight") * F.col(d)).alias(d) for d in dims]
-    )
-    every = docs.select(id_col).join(sums, id_col, "left")
-    return every.select(id_col, F.array(*[F.coalesce(F.col(d), F.lit(0.0)) for d in dims]).alias("lsa"))
-
-
 def explained_variance(projected: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     """One row: share of the term variance that the projection keeps."""
     n = projected.agg(F.count("*")).scalar()
