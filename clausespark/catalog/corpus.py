@@ -349,6 +349,24 @@ def taxonomy_risk_levels(spark, sf_dir):
     )
 
 
+def _versions_sql() -> str:
+    rows = ", ".join(
+        f"({quoted(v)}, {quoted(level)}, {quoted(c.lower())})" for v, lists in RISK_VERSIONS.items() for level, listed in lists.items() for c in listed
+    )
+    return with_scores(
+        f""", known AS (SELECT * FROM (VALUES {rows}) k(version, level, key))
+SELECT clause, v.version, coalesce(level, 'LOW') AS level, n_pos FROM (SELECT clause, sum(y)::BIGINT AS n_pos FROM scores GROUP BY clause) c,
+  (SELECT DISTINCT version FROM known) v LEFT JOIN known ON known.version = v.version AND known.key = lower(clause)"""
+    )
+
+
+@register("taxonomy_risk_versions", _versions_sql())
+def taxonomy_risk_versions(spark, sf_dir):
+    """The level of every clause in all four versions of the risk lists, with its positive documents."""
+    counts = clause_scores(spark, sf_dir).groupBy("clause").agg(F.sum("y").cast("long").alias("n_pos"))
+    return taxonomy.risk_versions(counts).join(counts, "clause")
+
+
 # Every document is assigned one clause name of the taxonomy by its id.
 ASSIGNED = f"list_value({', '.join(quoted(c) for c in CLAUSES)})[1 + (doc_id % 41)::INT]"
 
@@ -467,3 +485,9 @@ WHERE split = 'test'"""
 def predict_majority_class(spark, sf_dir):
     test = clause_scores(spark, sf_dir).where("split = 'test'").select("doc_id", "clause", "y")
     return splits.predict_majority(test)
+
+
+@register("predict_absent_floor", with_scores("SELECT doc_id, clause, y, 0 AS pred FROM scores WHERE split = 'test'"))
+def predict_absent_floor(spark, sf_dir):
+    """The floor below every system: no clause is ever predicted."""
+    return splits.predict_absent(clause_scores(spark, sf_dir).where("split = 'test'").select("doc_id", "clause", "y"))

@@ -238,6 +238,25 @@ def written_contracts(spark, sf_dir):
     return back.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
 
 
+@register(
+    "text_files_read",
+    """SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5, contains(t, chr(65533)) AS was_broken
+FROM (SELECT doc_id, text || CASE WHEN contains(text, 'la') THEN chr(65533) ELSE '' END || chr(10) AS t FROM documents)""",
+)
+def text_files_read(spark, sf_dir):
+    """Documents written as text files, some with a byte that is no UTF-8, and read back with the replacing decoder."""
+    path = _folder(spark, "texts")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    broken = F.when(F.contains("text", F.lit("la")), F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    tables.write_text_contracts(docs.select("doc_id", F.concat(F.col("text").cast("binary"), broken).alias("content")), path)
+    back = tables.read_text_contracts(spark, f"{path}/*/*.txt")
+    doc_id = F.regexp_extract("path", "doc_id=(-?[0-9]+)", 1).cast("long")
+    return back.select(
+        doc_id.alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"),
+        F.contains("text", F.lit("\ufffd")).alias("was_broken"),
+    )
+
+
 @register(
     "written_thresholds",
     with_scores("SELECT clause, round(avg(y), 6) AS thr FROM scores WHERE split = 'train' GROUP BY clause"),

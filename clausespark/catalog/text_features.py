@@ -319,9 +319,9 @@ def text_strip_accents(spark, sf_dir):
     return docs.select("doc_id", X.strip_accents(F.col("text")).alias("folded"))
 
 
-def _prompt_sql(template: str, limit: int) -> str:
+def _prompt_sql(template: str, limit: int, suffix: str = prompts.SHORT_SUFFIX) -> str:
     head, tail = template.split("{text}")
-    inner = _truncated_sql(limit, prompts.SHORT_SUFFIX, "contracts")
+    inner = _truncated_sql(limit, suffix, "contracts")
     return with_contracts(f"SELECT doc_id, {quoted(head)} || short || {quoted(tail)} AS prompt FROM ({inner})")
 
 
@@ -337,6 +337,21 @@ def prompt_few_shot(spark, sf_dir):
     return contracts(spark, sf_dir).select("doc_id", prompt.alias("prompt"))
 
 
+LONG_FEW_SHOT = prompts.LONG_FEW_SHOT_TEMPLATE.replace("{examples}", prompts.LONG_EXAMPLES)
+
+
+@register("prompt_long_zero_shot", _prompt_sql(prompts.LONG_ZERO_SHOT_TEMPLATE, prompts.LONG_WORDS, prompts.LONG_SUFFIX))
+def prompt_long_zero_shot(spark, sf_dir):
+    prompt = X.build_prompt(F.col("text"), prompts.LONG_ZERO_SHOT_TEMPLATE, prompts.LONG_WORDS, prompts.LONG_SUFFIX)
+    return contracts(spark, sf_dir).select("doc_id", prompt.alias("prompt"))
+
+
+@register("prompt_long_few_shot", _prompt_sql(LONG_FEW_SHOT, prompts.LONG_WORDS, prompts.LONG_SUFFIX))
+def prompt_long_few_shot(spark, sf_dir):
+    prompt = X.build_prompt(F.col("text"), LONG_FEW_SHOT, prompts.LONG_WORDS, prompts.LONG_SUFFIX)
+    return contracts(spark, sf_dir).select("doc_id", prompt.alias("prompt"))
+
+
 # Replies are worked out from the turns: words that open a line become an answer line.
 REPLY_WORDS = [
     (" the ", "\nUncapped Liability: YES\n"), (" of ", "\nchange of control: no\n"),

@@ -34,6 +34,27 @@ RISK_VERSIONS = {
             "Revenue/Profit Sharing", "Most Favored Nation", "Covenant Not To Sue",
         ],
     },
+    "first_pipeline": {
+        "HIGH": [
+            "Uncapped Liability", "IP Ownership Assignment", "Change Of Control",
+            "Non-Compete", "Liquidated Damages", "Joint IP Ownership",
+        ],
+        "MEDIUM": [
+            "Indemnification", "Cap On Liability", "Termination For Convenience",
+            "Exclusivity", "No-Solicit Of Employees", "No-Solicit Of Customers",
+            "Revenue/Profit Sharing",
+        ],
+    },
+    "configuration": {
+        "HIGH": [
+            "Uncapped Liability", "IP Ownership Assignment", "Change of Control",
+            "Non-Compete", "Liquidated Damages",
+        ],
+        "MEDIUM": [
+            "Indemnification", "Limitation of Liability", "Termination for Convenience",
+            "Exclusivity", "No-Solicit of Employees",
+        ],
+    },
     "review_screen": {
         "HIGH": [
             "Uncapped Liability", "Change Of Control", "Non-Compete", "Liquidated Damages",

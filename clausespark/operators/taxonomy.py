@@ -27,6 +27,15 @@ def risk_level(clause: Column, version: str = "production", other: str = "LOW")
     return level.otherwise(other)
 
 
+def risk_versions(clauses: DataFrame) -> DataFrame:
+    """(clause, version, level) of every clause in every version of the risk lists; names are compared without regard to case."""
+    rows = [(v, level, c.lower()) for v, lists in RISK_VERSIONS.items() for level, listed in lists.items() for c in listed]
+    known = clauses.sparkSession.createDataFrame(rows, "version string, level string, key string")
+    every = clauses.select("clause", F.lower("clause").alias("key"), F.explode(F.array(*map(F.lit, RISK_VERSIONS))).alias("version"))
+    found = every.join(F.broadcast(known), ["key", "version"], "left")
+    return found.select("clause", "version", F.coalesce("level", F.lit("LOW")).alias("level"))
+
+
 def is_high_risk(clause: Column, version: str = "production") -> Column:
     return clause.isin(RISK_VERSIONS[version]["HIGH"])
 
