@@ -1,10 +1,11 @@
 """Benchmark decontamination: word windows of documents against the hash set of a benchmark's windows.
 
-Everything is DataFrame expressions. A document stays one row while its windows are tested: each is
-hashed inside the row, looked up in the set, and a hit is verified by its words, so only verified
-hits become rows. The set is part of the scan (sent to every executor with it) while the benchmark
-has at most ``SET_WINDOWS`` windows. A larger benchmark is matched by a join of (row, position,
-hash, words) with its windows, where Spark chooses the join; both ways give the same rows.
+Everything is DataFrame expressions. The windows of a document are hashed inside its row and exploded into a
+broadcast hash join with the benchmark's windows in the same stage, so only hits leave it; a hit is verified by
+its words there too. The hash tables are broadcast in parts of at most ``PART`` windows, whose size is so
+bounded (some 200 bytes a window); a larger benchmark takes more parts in the same pass. Nothing but hits and
+one row of numbers per document is shuffled. Documents are filtered or cut by a join with the hashes of
+the texts that have hits.
 
 Null texts have no words. An item without words or without an id has no window; one with fewer words
 than a window is one window. Repeated rows of documents give repeated rows, repeated items count
@@ -16,9 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausespark.session import cut_lineage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SET_WINDOWS = 50_000
+#: Windows in one broadcast hash table.
+PART = 250_000
 
 
 def words(text: Column) -> Column:
@@ -49,39 +53,29 @@ def windows_of_items(items: DataFrame, window: int, item_id: str, text: str) ->
 
 
 class BenchmarkWindows:
-    """The windows of a benchmark, ready to be looked for in documents."""
-
-    def __init__(self, items: DataFrame, window: int = 10, item_id: str = "item_id", text: str = "text", set_windows: int = SET_WINDOWS):
-        self.table = windows_of_items(items, window, item_id, text)
-        self.lengths = {r["n"]: r["c"] for r in self.table.groupBy("n").agg(F.countDistinct("window").alias("c")).collect()}
-        self.in_set = sum(self.lengths.values()) <= set_windows
-
-    def found(self) -> Column:
-        """``array<struct<at, length, window>>`` of the verified hits in a row with words ``w`` and their hashes ``h``."""
-        found = [F.array().cast("array<struct<at:int,length:int,window:string>>")]
-        rows = self.table.select("n", "window", "hash").distinct().collect()  # at most set_windows
-        for n in sorted(self.lengths):
-            hashes = ", ".join(f"{r['hash']}L" for r in rows if r["n"] == n)
-            known = [r["window"] for r in rows if r["n"] == n]
-            quoted = ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in known)
-            found.append(
-                F.expr(
-                    f"transform(filter(filter(if(size(h) < {n}, array(), sequence(0, size(h) - {n})), i -> {hash_sql(n)} in ({hashes})),"
-                    f" i -> {words_sql(n)} in ({quoted})), i -> struct(i as at, {n} as length, {words_sql(n)} as window))"
-                )
-            )
-        return F.concat(*found)
+    """The windows of a benchmark, ready to be looked for in documents: ``n, window, hash, item_id``, and how many of each length."""
+
+    def __init__(self, items: DataFrame, window: int = 10, item_id: str = "item_id", text: str = "text", part: int = PART):
+        self.table = cut_lineage(windows_of_items(items, window, item_id, text))
+        self.lengths = {r["n"]: r["c"] for r in self.table.groupBy("n").agg(F.count("*").alias("c")).collect()}
+        self.parts = max(1, -(-sum(self.lengths.values()) // part))
+
+    def part(self, k: int) -> DataFrame:
+        """The ``k``-th hash table: windows are dealt by the low bits of their hash."""
+        own = self.table.filter(F.pmod("hash", F.lit(self.parts)) == k)
+        return own.select(F.col("hash").alias(f"hash{k}"), F.col("window").alias(f"window{k}"), F.col("item_id").alias(f"item{k}"))
 
-    def every(self) -> Column:
-        """All windows of a row of the benchmark's lengths, as ``found`` gives its hits."""
+    def windows(self) -> Column:
+        """``array<struct<at, length, hash>>``: all windows of a row with hashed words ``h``, of the lengths that items have."""
         return F.concat(
+            F.expr("array(struct(-1 as at, 0 as length, cast(null as bigint) as hash))"),  # a row for the document itself
             *[
                 F.expr(
                     f"transform(if(size(h) < {n}, array(), sequence(0, size(h) - {n})),"
-                    f" i -> struct(i as at, {n} as length, {words_sql(n)} as window))"
+                    f" i -> struct(i as at, {n} as length, {hash_sql(n)} as hash))"
                 )
                 for n in sorted(self.lengths)
-            ]
+            ],
         )
 
 
@@ -90,21 +84,25 @@ def hashed(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
     return docs.select(*keep, words(F.col(text)).alias("w")).withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
 
 
-def hits(docs: DataFrame, benchmark: BenchmarkWindows, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_row, doc_id, n_words, at, length, item_id``: a row per verified hit and item, one of nulls for a document without hits."""
-    read = hashed(docs, text, F.monotonically_increasing_id().alias("_row"), F.col(doc_id).cast("long").alias("doc_id"))
-    found = benchmark.found() if benchmark.in_set else benchmark.every()
-    rows = read.select("_row", "doc_id", F.size("w").cast("long").alias("n_words"), F.explode_outer(found).alias("f"))
-    rows = rows.select("_row", "doc_id", "n_words", "f.at", "f.length", "f.window")
-    known = benchmark.table.select("window", "item_id")
-    matched = rows.join(F.broadcast(known) if benchmark.in_set else known, "window", "left")
-    hit = F.col("item_id").isNotNull()
-    return matched.select("_row", "doc_id", "n_words", F.when(hit, F.col("at")).alias("at"), F.when(hit, F.col("length")).alias("length"), "item_id")
+def hits(docs: DataFrame, benchmark: BenchmarkWindows, text: str = "text", **keep: Column) -> DataFrame:
+    """The columns ``keep`` with ``n_words, at, length, item_id``: a row per verified hit and item, and one of nulls per document."""
+    read = hashed(docs, text, *[c.alias(name) for name, c in keep.items()]).withColumn("n_words", F.size("w").cast("long"))
+    # the words stay with the exploded rows but are only copied where a row leaves the join
+    rows = read.select(*keep, "n_words", "w", F.explode(benchmark.windows()).alias("f")).select(*keep, "n_words", "w", "f.at", "f.length", "f.hash")
+    for k in range(benchmark.parts):
+        rows = rows.join(F.broadcast(benchmark.part(k)), F.col("hash") == F.col(f"hash{k}"), "left")
+    parts = range(benchmark.parts)
+    found = rows.withColumn("window", F.coalesce(*[f"window{k}" for k in parts])).withColumn("item_id", F.coalesce(*[f"item{k}" for k in parts]))
+    found = found.filter((F.col("at") < 0) | F.col("window").isNotNull())
+    own_words = F.array_join(F.slice("w", F.greatest(F.col("at"), F.lit(0)) + 1, F.col("length")), " ")
+    found = found.filter((F.col("at") < 0) | (own_words == F.col("window")))
+    hit = F.col("at") >= 0
+    return found.select(*keep, "n_words", F.when(hit, F.col("at")).alias("at"), F.when(hit, F.col("length")).alias("length"), "item_id")
 
 
 def contamination(docs: DataFrame, benchmark: BenchmarkWindows, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans`` of every document; spans: (first word, words) hit."""
-    found = hits(docs, benchmark, doc_id, text)
+    found = hits(docs, benchmark, text, _row=F.monotonically_increasing_id(), doc_id=F.col(doc_id).cast("long"))
     span = F.when(F.col("at").isNotNull(), F.struct("at", "length"))
     summed = found.groupBy("_row", "doc_id", "n_words").agg(
         F.array_sort(F.collect_set("item_id")).alias("items"), F.array_sort(F.collect_set(span)).alias("spans")
@@ -121,37 +119,34 @@ def contamination(docs: DataFrame, benchmark: BenchmarkWindows, doc_id: str = "d
     )
 
 
+def text_key(text: str) -> Column:
+    """A text by 96 bits of hash."""
+    return F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"))
+
+
+def whole_rows(docs: DataFrame, text: str) -> DataFrame:
+    """``d, k``: all columns of a row in one, so that no name clashes, and the key of its text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), text_key(text).alias("k"))
+
+
 def without_hits(docs: DataFrame, benchmark: BenchmarkWindows, text: str = "text") -> DataFrame:
     """The documents in which no window of the benchmark occurs, all their columns kept."""
     if not benchmark.lengths:
         return docs
-    if benchmark.in_set:
-        names = docs.columns
-        whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("d")
-        # the row number keeps the optimiser from moving the test below the words, where each window would split the text anew
-        read = hashed(docs, text, whole).withColumn("_row", F.monotonically_increasing_id())
-        kept = read.filter((F.size(benchmark.found()) == 0) & (F.col("_row") >= 0))
-        return kept.select(*[F.col("d").getField(c).alias(c) for c in names])
-    key = F.xxhash64(text)
-    rows = hashed(docs, text, key.alias("_key")).select("_key", F.explode(benchmark.every()).alias("f"))
-    hit = rows.select("_key", F.col("f.window").alias("window")).join(benchmark.table.select("window"), "window", "left_semi")
-    return docs.withColumn("_key", key).join(hit.select("_key").distinct(), "_key", "left_anti").drop("_key")
+    found = hits(docs, benchmark, text, k=text_key(text)).filter(F.col("at").isNotNull()).select("k").distinct()
+    kept = whole_rows(docs, text).join(found, "k", "left_anti")
+    return kept.select(*[F.col("d").getField(c).alias(c) for c in docs.columns])
 
 
 def without_spans(docs: DataFrame, benchmark: BenchmarkWindows, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, text``: the words outside all hits, lower-cased and joined by spaces, where there are hits; other texts unchanged."""
+    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     if not benchmark.lengths:
-        return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    read = hashed(docs, text, F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    if benchmark.in_set:
-        read = read.withColumn("f", benchmark.found())
-    else:  # hits by a hash of the text, which copies share
-        rows = hashed(docs, text, F.xxhash64(text).alias("_key")).select("_key", F.explode(benchmark.every()).alias("f"))
-        rows = rows.select("_key", "f.at", "f.length", "f.window").join(benchmark.table.select("window"), "window", "left_semi")
-        spans = rows.groupBy("_key").agg(F.collect_set(F.struct("at", "length")).alias("f"))
-        read = read.withColumn("_key", F.xxhash64("text")).join(spans, "_key", "left")
-        read = read.withColumn("f", F.coalesce("f", F.array().cast("array<struct<at:int,length:int>>")))
+        return read
+    found = hits(read, benchmark, "text", k=text_key("text")).filter(F.col("at").isNotNull())
+    spans = found.groupBy("k").agg(F.collect_set(F.struct("at", "length")).alias("f"))  # at most one per word and length of the text
+    joined = read.withColumn("k", text_key("text")).join(spans, "k", "left").withColumn("w", words(F.col("text")))
     covered = F.flatten(F.transform("f", lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1)))
     positions = F.array_except(F.sequence(F.lit(0), F.size("w") - 1), covered)
     kept = F.transform(positions, lambda i: F.get("w", i))
-    return read.select("doc_id", F.when(F.size("f") > 0, F.array_join(kept, " ")).otherwise(F.col("text")).alias("text"))
+    return joined.select("doc_id", F.when(F.col("f").isNotNull(), F.array_join(kept, " ")).otherwise(F.col("text")).alias("text"))

@@ -117,8 +117,8 @@ def test_decontamination(spark, odd, no_documents):
                     found |= names
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         want.append((r[0], len(w), len(hit), len(found), digest, bool(hit)))
-    for limit in (50_000, 0):
-        windows = decontamination.BenchmarkWindows(bench, 10, set_windows=limit)
+    for limit in (250_000, 60):
+        windows = decontamination.BenchmarkWindows(bench, 10, part=limit)
         got = decontamination.contamination(odd, windows).drop("spans")
         assert Counter(map(tuple, got.collect())) == Counter(want)
         clean = Counter(w[0] for w in want if not w[5])
@@ -134,8 +134,8 @@ def test_spans_are_cut(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(1, "beta gamma"), (2, "gamma beta")], "item_id long, text string")
     want = Counter([(1, "alpha delta"), (2, "Nothing Here"), (3, None), (4, ""), (5, ""), (1, "alpha delta")])
-    for limit in (50_000, 0):  # a set in the row, and a join
-        got = decontamination.without_spans(docs, decontamination.BenchmarkWindows(bench, set_windows=limit))
+    for limit in (250_000, 1):  # one hash table, and one per window
+        got = decontamination.without_spans(docs, decontamination.BenchmarkWindows(bench, part=limit))
         assert Counter(map(tuple, got.collect())) == want
     nothing = decontamination.BenchmarkWindows(bench.limit(0))
     assert Counter(map(tuple, decontamination.without_spans(docs, nothing).collect())) == Counter(rows)
