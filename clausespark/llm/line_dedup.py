@@ -9,7 +9,7 @@ position) and goes everywhere else; a line is known by 96 bits of hash.
 Blank lines are never boilerplate. Null texts have no lines and stay null; empty ones stay empty.
 Null sites are not counted. Rows without an id neither count nor lose lines. Repeated rows lose the
 same lines; of lines repeated inside the first document only the first stays. Empty tables give empty
-ones. Columns other than the three named are kept, and none of their names clashes.
+ones. Columns other than the three named are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,22 +45,35 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return cut_lineage(sure.select("h1", "h2", "first").union(decided.select("h1", "h2", "first")))
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each behind as many more underscores as it takes to differ from all columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def dedup_lines(
     docs: DataFrame, min_sites: int = 8, doc_id: str = "doc_id", text: str = "text", site: str = "source"
 ) -> DataFrame:
-    """All rows and columns of ``docs`` with the text after removal, and ``_n_lines, _n_removed``."""
+    """All rows and columns of ``docs`` with the text after removal, and the numbers of its lines and of removed ones, under the
+    ``free_names`` of ``_n_lines`` and ``_n_removed``."""
     lines = line_rows(docs, doc_id, text, site)
     found = boilerplate(lines, min_sites)
     goes = lines.join(found, ["h1", "h2"]).filter(F.struct("doc_id", "at") != F.col("first"))
-    cut = goes.groupBy(F.col("doc_id").alias("_doc_id"), F.col("key").alias("_key")).agg(F.collect_set("at").alias("_cut"))
-    keyed = docs.withColumn("_text_key", F.xxhash64(text))
-    joined = keyed.join(cut, (F.col(doc_id).cast("long") == F.col("_doc_id")) & (F.col("_text_key") == F.col("_key")), "left")
-    joined = joined.withColumn("_lines", F.split(text, "\n"))
-    kept = F.array_join(kept_lines(F.col("_lines"), F.col("_cut")), "\n")
-    out = {c: F.col(f"`{c}`") for c in docs.columns} | {
-        text: F.when(F.col("_cut").isNull(), F.col(text)).otherwise(kept),
-        "_n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines")).cast("long"),
-        "_n_removed": F.coalesce(F.size("_cut"), F.lit(0)).cast("long"),
+    cut = goes.groupBy(F.col("doc_id").alias("cut_id"), F.col("key").alias("cut_key")).agg(F.collect_set("at").alias("cut"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col(doc_id).cast("long").alias("own_id"), F.xxhash64(text).alias("own_key"))
+    joined = whole.join(cut, (F.col("own_id") == F.col("cut_id")) & (F.col("own_key") == F.col("cut_key")), "left")
+    own = F.col("d").getField(text)
+    joined = joined.withColumn("lines", F.split(own, "\n"))
+    kept = F.array_join(kept_lines(F.col("lines"), F.col("cut")), "\n")
+    n_lines, n_removed = free_names(docs.columns, "_n_lines", "_n_removed")
+    out = {c: F.col("d").getField(c) for c in docs.columns} | {
+        text: F.when(F.col("cut").isNull(), own).otherwise(kept),
+        n_lines: F.when(own.isNull(), 0).otherwise(F.size("lines")).cast("long"),
+        n_removed: F.coalesce(F.size("cut"), F.lit(0)).cast("long"),
     }
     return joined.select(*[c.alias(name) for name, c in out.items()])
 

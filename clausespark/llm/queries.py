@@ -102,7 +102,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_sites=8)
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), min_sites=8)
     return cleaned.select(
         "doc_id",
         F.col("_n_lines").alias("n_lines"),
