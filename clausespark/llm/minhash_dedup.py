@@ -18,8 +18,9 @@ The number of bands makes a pair at the threshold share none with probability ``
 
 Null texts and texts without words have no shingles and are linked with nothing. With fewer words than
 a shingle the whole sequence is one. Rows without an id are a component of nothing (null, kept).
-Rows that repeat an id are judged each by its text. Empty tables give empty ones. Extra columns are
-not read. Shingles are compared by 64-bit hashes; texts are taken whole.
+Rows that repeat an id are judged each by its text; where two texts of one id are both the smallest of their
+kind, a link of one is a link of both. Empty tables give empty ones. Extra columns are not read, whatever
+their names. Shingles are compared by 64-bit hashes; texts are taken whole.
 """
 
 from __future__ import annotations
@@ -200,6 +201,8 @@ def near_duplicates(
     docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    doc_id, text = "doc_id", "text"
     ratio = similarity[0] / similarity[1]
     bands = bands_for(ratio)
     count = bands * ROWS
