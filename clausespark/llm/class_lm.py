@@ -1,7 +1,7 @@
 """Class-based n-gram language model: exchange clustering of words, class transitions, word emissions.
 
 1. Word counts of the training texts: summed per task, then by word.
-2. The ``TABLE`` most frequent words (of at most ``WORD_BYTES`` bytes) get numbers. This bounded table is
+2. The most frequent words, at most ``TABLE`` of at most ``WORD_BYTES`` bytes, get numbers. This bounded table is
    broadcast, and each text is written once as numbers, with its other words beside them in order.
 3. Exchange clustering: the most frequent words found the classes. The ``EXCHANGED`` first numbers get one row
    each with their left and right neighbours; they join the class that raises the likelihood of the class bigrams
@@ -33,10 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausespark.llm.common import UPPER_TO_LOWER, _arrow_schema, per_batch, to_batch
+from clausespark.llm.importance_resampling import cutoff
 from clausespark.session import cut_lineage
 
 #: Numbered words, the longest of them in bytes, and how many of them are exchanged in rounds.
-TABLE, WORD_BYTES, EXCHANGED = 100_000, 64, 10_000
+TABLE, WORD_BYTES, EXCHANGED = 400_000, 64, 6_000
 #: Classes (at most 125), rounds of exchange, and parts of the words that move in turns.
 CLASSES, ROUNDS, PARTS = 96, 4, 2
 #: Added counts: to a word in its class, to the transitions and to the share of unknown words after a class.
@@ -98,9 +99,18 @@ class Totals:
 
 
 def numbered_words(counts: DataFrame, size: int, longest: int) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent words in order, ties by their bytes, and their counts."""
-    rows = counts.filter(F.octet_length("word") <= longest).orderBy(F.col("n").desc(), "word").limit(size).collect()
-    return [bytes(r["word"]) for r in rows], np.array([r["n"] for r in rows], np.int64)
+    """The words above the count that at most ``size`` words reach, most frequent first, ties by their bytes, and their counts.
+
+    Count jobs find that count, so nothing but these words comes to the driver.
+    """
+    able = counts.filter(F.octet_length("word") <= longest)
+    if able.count() > size:
+        least = cutoff(able, F.col("n"), size)
+        able = able.filter(F.col("n") >= least + (able.filter(F.col("n") >= least).count() > size))
+    found = able.select("word", "n").toArrow()
+    words, n = found.column("word").to_pylist(), found.column("n").to_numpy()
+    order = sorted(range(len(words)), key=lambda k: (-n[k], words[k]))
+    return [words[k] for k in order], n[order].astype(np.int64)
 
 
 def encoded(texts: DataFrame, words: list[bytes]) -> DataFrame:
@@ -190,7 +200,7 @@ def exchange_gains(left: np.ndarray, right: np.ndarray, own: np.ndarray, pairs:
 
     ``left`` and ``right`` (words x classes) count a word's neighbours by class, ``pairs`` all class bigrams. For its
     own class (-1: none) a word counts as taken out first. Words of the own class among a word's neighbours stay where
-    they are. Nobody joins the class of the end.
+    they are. Nobody joins the class of the end. Gains equal to six decimals go to the first class.
     """
     words, classes = left.shape
     gains = np.zeros((words, classes))
@@ -271,7 +281,7 @@ def exchanged(table: DataFrame, moves: np.ndarray, classes_of: np.ndarray, pairs
                 return None
             left, right = (by_class(batch.column(k), batch.column(k + 1), known, classes)[chosen] for k in (1, 3))
             gains = exchange_gains(left, right, known[ids[chosen]], counts)
-            return {"id": ids[chosen], "class": gains.argmax(axis=1).astype(np.int32)}
+            return {"id": ids[chosen], "class": np.round(gains, 6).argmax(axis=1).astype(np.int32)}
 
         return run
 
@@ -324,7 +334,7 @@ def joined_classes(listed: DataFrame, pairs: np.ndarray, key: str, kind: str) ->
                 both.append(np.bincount(row[known] * classes + side[known], n[known], (len(ends) - 1) * classes).reshape(-1, classes))
             gains = exchange_gains(*both, np.full(len(ends) - 1, -1), shared.value)
             total = np.bincount(row, n, len(ends) - 1).astype(np.int64)
-            return {key: batch.column(0), "class": gains.argmax(axis=1).astype(np.int32), "n": total}
+            return {key: batch.column(0), "class": np.round(gains, 6).argmax(axis=1).astype(np.int32), "n": total}
 
         return run
 
@@ -378,9 +388,27 @@ def words_beyond(rows: DataFrame, classes_of: np.ndarray, classes: int) -> DataF
 
 
 def place_words(beyond: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """``word, class, n`` of every training word beyond the table, each after one exchange step."""
-    seen = beyond.filter("train").groupBy("word", "around").agg(F.count("*").alias("n"))
-    listed = seen.groupBy("word").agg(F.collect_list(F.struct("around", "n")).alias("s"))
+    """``word, class, n`` of every training word beyond the table, each after one exchange step.
+
+    Surroundings are counted per task before the one shuffle by word, so a long word that many texts hold doesn't gather.
+    """
+    schema = "word binary, around int, n long"
+    arrow = _arrow_schema(beyond, schema)
+
+    def count(batches):
+        seen: Counter[tuple[bytes, int]] = Counter()
+        for batch in batches:
+            seen.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            if len(seen) > COUNTED_WORDS:
+                yield folded(seen)
+                seen = Counter()
+        yield folded(seen)
+
+    def folded(seen):
+        return to_batch({"word": [w for w, _ in seen], "around": [a for _, a in seen], "n": list(seen.values())}, arrow)
+
+    counted = beyond.filter("train").select("word", "around").mapInArrow(count, schema).repartition("word")
+    listed = counted.groupBy("word", "around").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("around", "n")).alias("s"))
     return joined_classes(listed.select("word", "s.around", "s.n"), pairs, "word", "binary")
 
 
@@ -394,8 +422,9 @@ def coded(rows: DataFrame, classes_of: np.ndarray, number_n: np.ndarray, totals:
 
     def make():
         own, n_of = shared.value
-        code = np.append(own + ONCE * (n_of == 1), HOLE).astype(np.uint8)
-        logs = np.vstack([np.append(np.ones(len(own)), 0), np.append(totals.log_base(n_of), 0), np.append(np.log10(n_of + WORD_ADDED), 0)])
+        met = n_of > 0  # all but the end where nothing is learnt from
+        code = np.append(np.where(met, own + ONCE * (n_of == 1), UNKNOWN), HOLE).astype(np.uint8)
+        logs = np.vstack([np.append(met, 0), np.append(totals.log_base(n_of), 0), np.append(np.where(met, np.log10(n_of + WORD_ADDED), 0), 0)])
 
         def run(batch):
             values, ends = lists(batch.column(3))
