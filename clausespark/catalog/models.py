@@ -82,6 +82,38 @@ def model_boosted_trees(spark, sf_dir):
     return data.judged(data.boosted(B.Boosting()))
 
 
+STUMP = B.Boosting(trees=1, depth=1, columns=1.0)
+
+_STUMP_SQL = f"""WITH {SCORES_SQL},
+labels AS (SELECT doc_id, clause, y FROM scores WHERE split = 'train'),
+train AS (SELECT doc_id, text FROM contracts WHERE {hash_bucket_sql()} >= 20),
+{counts_cte(grams_sql(1, 2, 'train'))}, {vocab_cte(20000, '(SELECT count(*) FROM train)')},
+n AS (SELECT clause, n1, n0, greatest(1.0::DOUBLE, n0 / n1) AS w, n1 * greatest(1.0::DOUBLE, n0 / n1) / n0 AS odds
+  FROM (SELECT clause, sum(y)::DOUBLE AS n1, sum(1 - y)::DOUBLE AS n0 FROM labels GROUP BY clause) WHERE n1 >= 2 AND n0 > 0),
+start AS (SELECT *, (odds / (1 + odds) - 1) * w AS g1, odds / (1 + odds) AS g0, odds / (1 + odds) * (1 - odds / (1 + odds)) AS h FROM n),
+met AS (SELECT clause, term, sum(y)::DOUBLE AS a, sum(1 - y)::DOUBLE AS b FROM counts SEMI JOIN vocab USING (term) JOIN labels USING (doc_id) GROUP BY 1, 2),
+sums AS (SELECT clause, term, a + b AS n_right, n1 + n0 AS n_all, a * g1 + b * g0 AS gr, h * (a * w + b) AS hr, n1 * g1 + n0 * g0 AS g, h * (n1 * w + n0) AS hh
+  FROM met JOIN start USING (clause)),
+gains AS (SELECT *, gr * gr / hr + (g - gr) * (g - gr) / (hh - hr) - g * g / hh AS gain FROM sums
+  WHERE n_right >= {STUMP.min_rows} AND n_all - n_right >= {STUMP.min_rows} AND hr >= {STUMP.min_hessian} AND hh - hr >= {STUMP.min_hessian})
+SELECT clause, term, round(gain, 5) AS gain, round(-{STUMP.rate} * (g - gr) / (hh - hr), 6) AS without_term, round(-{STUMP.rate} * gr / hr, 6) AS with_term
+FROM gains WHERE gain > 1e-12 QUALIFY row_number() OVER (PARTITION BY clause
+  ORDER BY round(gain * 10.0::DOUBLE ** (8 - floor(log10(gain)))) / 10.0::DOUBLE ** (8 - floor(log10(gain))) DESC, term) = 1"""
+
+
+@register("model_first_stumps", _STUMP_SQL)
+def model_first_stumps(spark, sf_dir):
+    """The first split of every clause where terms are present or absent: its term, gain and leaf values."""
+    data = Data(spark, sf_dir, *WHOLE).packed()
+    nodes = B.table(data.boosted(STUMP, bins=1), data.vocabulary)
+    at = lambda node, column: F.max(F.when(F.col("node") == node, F.col(column)))
+    found = nodes.groupBy("clause").agg(
+        at(0, "term").alias("term"), F.round(at(0, "gain"), 5).alias("gain"),
+        F.round(at(1, "value"), 6).alias("without_term"), F.round(at(2, "value"), 6).alias("with_term"),
+    )
+    return found.where("term is not null")
+
+
 @register("model_larger_boosted_trees")
 def model_larger_boosted_trees(spark, sf_dir):
     data = Data(spark, sf_dir, *WHOLE).packed()

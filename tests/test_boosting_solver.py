@@ -252,3 +252,37 @@ def test_boosted_bundle_is_saved_and_loaded(data, spark, tmp_path):
     first, second = (sorted(map(tuple, production.score(b, docs).collect())) for b in (bundle, loaded))
     assert first == second and len(first) == 80
     assert production.evaluate(loaded, docs, labels).first()["macro_f1"] == pytest.approx(1.0)
+
+
+def test_singular_vectors_are_those_of_the_dense_matrix(data):
+    """The first singular values and the subspace agree with a whole decomposition; projections and explained variance too."""
+    from clausespark.operators import blocks
+
+    weights, _, rows, _ = data
+    basis, values = S.singular_vectors(S.row_blocks(rows, len(CLAUSES)), TERMS, 4, rounds=12)
+    _, want, right = np.linalg.svd(dense(), full_matrices=False)
+    assert values == pytest.approx(want[:4], rel=1e-4)
+    assert basis.T @ basis == pytest.approx(np.eye(4), abs=1e-9)
+    for k in range(4):
+        assert abs(basis[:, k] @ right[k]) == pytest.approx(1.0, abs=1e-3)
+    found = S.projected(rows, basis)
+    for r in found.collect():
+        assert r["lsa"] == pytest.approx(dense()[r["doc_id"]] @ basis, abs=1e-9)
+    share = blocks.explained_variance(found, weights, 4).first()["explained_variance"]
+    assert share == pytest.approx((dense() @ basis).var(axis=0).sum() / dense().var(axis=0).sum())
+    again, _ = S.singular_vectors(S.row_blocks(rows, len(CLAUSES)), TERMS, TERMS)
+    assert abs(again @ again.T) == pytest.approx(np.eye(TERMS), abs=1e-9)
+
+
+def test_feature_space_numbers_every_block(spark):
+    from clausespark.operators import blocks
+
+    names = {"b": ["y", "x"], "a": ["z"], "c": ["x", "w"]}
+    space = blocks.feature_space({k: spark.createDataFrame([(n,) for n in v], "feature string") for k, v in names.items()})
+    assert {(r["block"], r["feature"]): r["position"] for r in space.collect()} == {
+        ("b", "x"): 0, ("b", "y"): 1, ("a", "z"): 2, ("c", "w"): 3, ("c", "x"): 4,
+    }
+    stacked = spark.createDataFrame([(1, "b", "x", 2.0), (1, "c", "x", 4.0)], "doc_id long, block string, feature string, weight double")
+    scales = spark.createDataFrame([("c", "x", 0.25)], "block string, feature string, scale double")
+    got = {r["position"]: r["weight"] for r in blocks.positioned(stacked, space, scales).collect()}
+    assert got == {0: 2.0, 4: 1.0}

@@ -187,4 +187,4 @@ def test_out_of_fold_scores_cover_every_document_once(corpus):
 
 def test_trials_are_seeded():
     assert experiments.draw_trials(3) == experiments.draw_trials(3)
-    assert all(3 <= t["depth"] <= 8 and 0.04 <= t["rate"] <= 0.30 for t in experiments.draw_trials(20))
+    assert all(3 <= t.depth <= 8 and 0.04 <= t.rate <= 0.30 for t in experiments.draw_trials(20))

@@ -18,9 +18,14 @@ KNOWN = [
 def test_names_and_risk_lists(spark):
     assert len(taxonomy.CLAUSES) == 41 and len(set(taxonomy.CLAUSES)) == 41
     assert len(set(taxonomy.CLAUSES) - set(taxonomy.METADATA_CLAUSES)) == 36
-    for lists in taxonomy.RISK_VERSIONS.values():
+    assert len(taxonomy.RISK_VERSIONS) == 4
+    for version, lists in taxonomy.RISK_VERSIONS.items():
         assert not set(lists["HIGH"]) & set(lists["MEDIUM"])
-        assert set(lists["HIGH"]) | set(lists["MEDIUM"]) <= set(taxonomy.CLAUSES)
+        known = {c.lower() for c in taxonomy.CLAUSES} | ({"limitation of liability"} if version == "configuration" else set())
+        assert {c.lower() for c in lists["HIGH"] + lists["MEDIUM"]} <= known
+    levels = {(r["clause"], r["version"]): r["level"] for r in T.risk_versions(T.taxonomy_table(spark).select("clause")).collect()}
+    assert len(levels) == 4 * 41 and levels["Change Of Control", "configuration"] == "HIGH"
+    assert levels["Most Favored Nation", "first_pipeline"] == "LOW" and levels["Most Favored Nation", "production"] == "MEDIUM"
     table = T.taxonomy_table(spark)
     assert table.count() == 41 and table.where("is_metadata").count() == 5
     assert T.drop_metadata(table.select("clause")).count() == 36
