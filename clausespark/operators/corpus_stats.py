@@ -120,7 +120,11 @@ def label_correlation(labels: DataFrame, top: int = 12, id_col: str = "doc_id")
 
 
 def split_distribution(labels: DataFrame, splits: Sequence[str], id_col: str = "doc_id") -> DataFrame:
-    """Positives per label and split with totals, plus documents with any and with no label."""
+    """Positives per label and split with totals, plus documents with any and with no label.
+
+    The label rows are written out: both counts read them.
+    """
+    labels = cut_lineage(labels.select(id_col, "split", "clause", "y"))
 
     def per_split(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
         counted = df.groupBy(*keys).agg(
