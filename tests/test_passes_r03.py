@@ -30,3 +30,10 @@ def test_label_counts_read_written_rows(spark):
     assert MARK not in plan(found)
     got = {r["clause"]: (r["train"], r["test"], r["total"]) for r in found.collect()}
     assert got == {"Insurance": (1, 0, 1), "Audit Rights": (0, 0, 0), "ANY LABEL": (1, 0, 1), "NO LABEL": (0, 1, 1)}
+
+
+def test_risk_versions_read_written_counts(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "clause_scores", lambda *_: marked(spark, ROWS))
+    found = corpus.taxonomy_risk_versions(spark, "")
+    assert MARK not in plan(found)
+    assert {(r["clause"], r["n_pos"]) for r in found.collect()} == {("Insurance", 1), ("Audit Rights", 0)}
