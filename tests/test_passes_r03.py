@@ -37,3 +37,10 @@ def test_risk_versions_read_written_counts(spark, monkeypatch):
     found = corpus.taxonomy_risk_versions(spark, "")
     assert MARK not in plan(found)
     assert {(r["clause"], r["n_pos"]) for r in found.collect()} == {("Insurance", 1), ("Audit Rights", 0)}
+
+
+def test_text_is_lowered_once_for_all_terms(spark):
+    docs = spark.createDataFrame([("A Café no",), ("",), (None,)], "text string")
+    found = docs.select(X.terms_present(F.col("text"), ["CAFÉ", "no", "zz"]).alias("p"))
+    assert "contains(lower(text" not in plan(found).lower()
+    assert [r["p"] for r in found.collect()] == [["CAFÉ", "no"], [], []]
