@@ -44,3 +44,15 @@ def test_text_is_lowered_once_for_all_terms(spark):
     found = docs.select(X.terms_present(F.col("text"), ["CAFÉ", "no", "zz"]).alias("p"))
     assert "contains(lower(text" not in plan(found).lower()
     assert [r["p"] for r in found.collect()] == [["CAFÉ", "no"], [], []]
+
+
+def test_positions_of_all_terms_split_a_text_once(spark, monkeypatch):
+    calls, plain = [], X.padded_words
+    monkeypatch.setattr(X, "padded_words", lambda text: calls.append(1) or plain(text))
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "d c b a"), (3, None)], "doc_id long, text string")
+    terms = {"Insurance": ["a", "b c"], "Audit Rights": ["d"]}
+    rows = [(1, "Insurance", 1, "train"), (2, "Insurance", 1, "train"), (2, "Audit Rights", 1, "train"), (3, "Insurance", 1, "train")]
+    found = reports.position_analysis(docs, marked(spark, rows), terms)
+    assert len(calls) == 1 and MARK not in plan(found)
+    got = {r["clause"]: (r["n_positions"], r["median_position_pct"], r["in_second_half"]) for r in found.collect()}
+    assert got == {"Insurance": (3, 25.0, 33.3), "Audit Rights": (1, 0.0, 0.0)}
