@@ -33,6 +33,8 @@ from clausespark.session import cut_lineage, shared_folder
 
 #: Cells of the weights (0 to 1), rows of a block, ranges of terms, trees between two written states.
 CELLS, BLOCK_ROWS, RANGES, CUT = 1_024, 512, 8, 20
+#: Sums of a task's blocks that are kept side by side before equal keys are added up.
+PENDING = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -280,11 +282,16 @@ def summed(key: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def histograms(parts, columns: Sequence[Column], tree: Trees, number: int, level: int, width: int):
-    """(range, (keys, sums, totals)) of a task: sums by ((term, bin), column, node) and by (column, node)."""
+    """(range, (keys, sums, totals)) of a task: sums by ((term, bin), column, node) and by (column, node).
+
+    The blocks' sums are added up whenever there are twice as many as distinct keys (or ``PENDING``), so a task's memory is bounded by the
+    keys and doesn't grow with its blocks.
+    """
     nodes = 2**level
     first = nodes - 1
     k = len(columns)
     keys, sums, totals, terms = [], [], np.zeros((3, k, nodes)), 0
+    pending, most = 0, PENDING
     for block, margin in parts:
         terms = len(block.ptr) - 1
         ends = tree.nodes_of(block).astype(np.int64) - first
@@ -318,6 +325,10 @@ def histograms(parts, columns: Sequence[Column], tree: Trees, number: int, level
             found = np.flatnonzero(n)
             keys.append((slots[found % len(slots)] * k + c) * nodes + found // len(slots))
             sums.append(np.stack([np.bincount(cell_of, g[row], len(n))[found], np.bincount(cell_of, h[row], len(n))[found], n[found]]))
+            pending += len(found)
+            if pending > most:
+                key, added = summed(np.concatenate(keys), np.concatenate(sums, axis=1))
+                keys, sums, pending, most = [key], [added], len(key), max(PENDING, 2 * len(key))
     key, sums = summed(np.concatenate(keys), np.concatenate(sums, axis=1)) if keys else (np.zeros(0, np.int64), np.zeros((3, 0)))
     cuts = np.searchsorted(key, [-(-terms * r // RANGES) * width * k * nodes for r in range(RANGES + 1)])
     for r in range(RANGES):

@@ -56,3 +56,26 @@ def test_positions_of_all_terms_split_a_text_once(spark, monkeypatch):
     assert len(calls) == 1 and MARK not in plan(found)
     got = {r["clause"]: (r["n_positions"], r["median_position_pct"], r["in_second_half"]) for r in found.collect()}
     assert got == {"Insurance": (3, 25.0, 33.3), "Audit Rights": (1, 0.0, 0.0)}
+
+
+def test_sums_of_many_blocks_are_added_up_on_the_way(monkeypatch):
+    draw = np.random.default_rng(1)
+    columns = [B.Column(0, B.Boosting(columns=1.0, min_rows=1), 2.0), B.Column(1, B.Boosting(columns=0.5), 1.0)]
+    parts = []
+    for _ in range(6):
+        ptr = np.append(0, np.cumsum(draw.integers(0, 9, 30)))
+        n = int(ptr[-1])
+        block = B.Block(list(range(20)), ptr, draw.integers(0, 20, n).astype(np.int32), draw.integers(1, 3, n).astype(np.uint8),
+                        draw.integers(0, 2, (20, 2)).astype(np.uint8), draw.integers(0, 2**60, 20).astype(np.uint64), np.zeros(20, bool))
+        parts.append((block.prepared(4), np.zeros((2, 20))))
+    calls, plain = [], B.summed
+    monkeypatch.setattr(B, "summed", lambda key, sums: calls.append(len(key)) or plain(key, sums))
+    tree = B.Trees.empty(2, 1)
+    whole = dict(B.histograms(parts, columns, tree, 0, 0, 4))
+    largest = max(calls)
+    calls.clear()
+    monkeypatch.setattr(B, "PENDING", 50)
+    bounded = dict(B.histograms(parts, columns, tree, 0, 0, 4))
+    assert len(calls) > 1 and max(calls) < largest
+    for r, (key, sums, totals) in whole.items():
+        assert (bounded[r][0] == key).all() and np.allclose(bounded[r][1], sums) and np.allclose(bounded[r][2], totals)
