@@ -58,6 +58,17 @@ def test_positions_of_all_terms_split_a_text_once(spark, monkeypatch):
     assert got == {"Insurance": (3, 25.0, 33.3), "Audit Rights": (1, 0.0, 0.0)}
 
 
+def test_text_files_are_listed_by_name_below_a_folder(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "la b"), (-2, "é"), (3, "")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/in/documents.parquet")
+    monkeypatch.setattr(label_queries, "_folder", lambda spark, name: f"{tmp_path}/{name}")
+    paths, plain = [], tables.read_text_contracts
+    monkeypatch.setattr(tables, "read_text_contracts", lambda spark, path, **more: paths.append(path) or plain(spark, path, **more))
+    rows = {r["doc_id"]: (r["n_chars"], r["was_broken"]) for r in label_queries.text_files_read(spark, f"{tmp_path}/in").collect()}
+    assert rows == {1: (6, True), -2: (2, False), 3: (1, False)}
+    assert not any("*" in path for path in paths)
+
+
 def test_sums_of_many_blocks_are_added_up_on_the_way(monkeypatch):
     draw = np.random.default_rng(1)
     columns = [B.Column(0, B.Boosting(columns=1.0, min_rows=1), 2.0), B.Column(1, B.Boosting(columns=0.5), 1.0)]
