@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from clausespark.operators import linear
+from clausespark.operators import blocks, linear
 from clausespark.operators import vocabulary as V
 
 ROWS = [(1, "alpha beta alpha gamma"), (2, "beta gamma delta"), (3, "alpha delta delta"), (3, "beta alpha"), (4, None), (None, "gamma beta")]
@@ -48,3 +48,12 @@ def test_tasks_get_texts_by_size(spark, monkeypatch):
     monkeypatch.setattr(V, "TASK_BYTES", 1000)
     assert V.by_document(docs).rdd.getNumPartitions() == 100
     assert V.by_document(docs.where("doc_id < 0")).rdd.getNumPartitions() == cores
+
+
+def test_placed_windows_weigh_the_same(spark):
+    docs, spec = texts(spark), V.TermSpec(hi=1, min_df=1, max_features=10)
+    vocabulary = V.fit(docs, spec)
+    plain = V.transform_windows(blocks.window_rows(docs, 2, 1), vocabulary, spec, "win")
+    placed = V.transform_windows(blocks.window_rows(V.by_document(docs), 2, 1), vocabulary, spec, "win", placed=True)
+    rows = lambda df: sorted(str((r["doc_id"], r["win"], r["term"], round(r["weight"], 9))) for r in df.collect())
+    assert rows(plain) == rows(placed) and rows(plain)
