@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from clausespark.catalog import reports as report_queries, terms as term_queries
 from clausespark.operators import blocks, linear
 from clausespark.operators import vocabulary as V
 
@@ -57,3 +58,13 @@ def test_placed_windows_weigh_the_same(spark):
     placed = V.transform_windows(blocks.window_rows(V.by_document(docs), 2, 1), vocabulary, spec, "win", placed=True)
     rows = lambda df: sorted(str((r["doc_id"], r["win"], r["term"], round(r["weight"], 9))) for r in df.collect())
     assert rows(plain) == rows(placed) and rows(plain)
+
+
+def test_overlap_makes_texts_and_labels_once(spark, monkeypatch):
+    words = ["insurance coverage shall", "no later than insurance", "audit right shall not", "renewal term of audit"]
+    docs = spark.createDataFrame([(i, "en", "s", f"{words[i % 4]} and {words[i % 3]}") for i in range(60)], "doc_id long, lang string, source string, text string")
+    made, scored, plain = [], [], term_queries.score_rows
+    monkeypatch.setattr(term_queries, "contracts", lambda *_: made.append(1) or docs)
+    monkeypatch.setattr(term_queries, "score_rows", lambda rows: scored.append(1) or plain(rows))
+    report_queries.explain_term_overlap(spark, "").collect()
+    assert len(made) == 1 and len(scored) == 1
