@@ -76,3 +76,17 @@ def test_nodes_of_one_class_are_not_split_by_rounding():
     assert B.best_splits((slots, sums, totals, 0), 0, B.Boosting(), WIDTH) == []
     sums[0, 17] *= 1.5
     assert [s[2] for s in B.best_splits((slots, sums, totals, 0), 0, B.Boosting(), WIDTH)] == [17]
+
+
+def test_entries_that_come_twice_hide_no_rows(spark):
+    """The right side's sums count doubled entries twice; the left side still has its 36 rows and is split."""
+    rows = []
+    for d in range(60):
+        i = [0, 0] if d < 24 else [1] if d < 42 else []
+        rows.append((d, i, [0.5] * len(i), int(d < 24 or (d < 42 and d % 4 != 0))))
+    table = spark.createDataFrame(rows, "doc_id long, i array<int>, w array<double>, y0 int")
+    settings = B.Boosting(trees=1, depth=2, columns=1.0, min_rows=10, weighted=False)
+    bins = B.Bins(np.array([0, 1]), np.array([0, B.CELLS]), np.array([0, 1]), 1)
+    column, start = B.column_of(0, 38.0, 22.0, settings)
+    tree = B.fit_columns(B.binned_blocks(table, bins, 1), bins, [column], [start], 1).trees[0]
+    assert tree.term[0, :3].tolist() == [0, 1, -1]
